@@ -1,79 +1,60 @@
-"""JSON-LD blocks: strict parsing, truthiness and the type walk, on arrays of block texts."""
+"""JSON-LD blocks: strict parsing, truthiness and the type walk, as Spark SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from pagecensus.functions.text import trim_space
+from pagecensus.functions.text import bind, pattern, trim_space
 
 # Parser nesting limit: a deeper block does not parse, so no walk needs more steps.
 _MAX_NESTING = 1000
 
 # Fixed value: JSON texts that count as "nothing" on the web platform.
-_FALSY = r'^(?:null|false|""|-?0(?:\.0+)?(?:[eE][+\-]?[0-9]+)?)$'
+_FALSY = pattern(r"^(?:null|false|\x22\x22|-?0(?:\.0+)?(?:[eE][+\-]?[0-9]+)?)$")
+
+_EMPTY_NODES = "CAST(array() AS ARRAY<VARIANT>)"
+_EMPTY_NAMES = "CAST(array() AS ARRAY<STRING>)"
 
 
-def _parsed(body: Column) -> Column:
-    """The block as a variant, null unless it is one whole JSON value.
+def kept_blocks(bodies: str) -> str:
+    """``array<variant>`` of the blocks that parse and are not falsy, in page order.
 
     ``try_parse_json`` ignores text behind the first value. Wrapped once as a list and once as an
-    object, such text breaks at least one of the two.
+    object, such text breaks at least one of the two, so what is kept is one whole JSON value.
     """
-    as_list = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    as_member = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}")))
-    return F.when(as_member.isNotNull(), F.try_variant_get(as_list, "$[0]", "variant"))
-
-
-def kept_blocks(bodies: Column) -> Column:
-    """``array<variant>`` of the blocks that parse and are not falsy, in page order."""
-    trimmed = F.transform(bodies, trim_space)
-    truthy = F.filter(trimmed, lambda body: ~body.rlike(_FALSY))
-    return F.filter(F.transform(truthy, _parsed), lambda block: block.isNotNull())
+    trimmed = f"transform({bodies}, body -> {trim_space('body')})"
+    parsed = (
+        """CASE WHEN try_parse_json(concat('{"v":', body, '}')) IS NOT NULL """
+        "THEN try_variant_get(try_parse_json(concat('[', body, ']')), '$[0]', 'variant') END"
+    )
+    truthy = f"filter({trimmed}, body -> NOT body RLIKE {_FALSY})"
+    return f"filter(transform({truthy}, body -> {parsed}), block -> block IS NOT NULL)"
 
 
-def type_names(blocks: Column, bodies: Column) -> Column:
+def type_names(blocks: str, bodies: str) -> str:
     """Distinct ``@type`` names, found through lists and ``@graph`` at any depth and nowhere else.
 
     The walk goes level by level. Each step enters a list or an object, so the number of opening
     brackets in the texts bounds the number of steps.
     """
-    openings = F.reduce(
-        bodies, F.lit(1), lambda total, body: total + F.regexp_count(body, F.lit(r"[\[{]"))
+    openings = f"reduce({bodies}, 1, (n, body) -> n + regexp_count(body, {pattern('[' + chr(92) + '[{]')}))"
+    own = (
+        """coalesce(try_variant_get(node, '$["@type"]', 'array<string>'), """
+        """array(try_variant_get(node, '$["@type"]', 'string')))"""
     )
-    steps = F.sequence(F.lit(1), F.least(openings, F.lit(_MAX_NESTING)))
-    start = F.struct(
-        blocks.alias("frontier"), F.array().cast("array<string>").alias("types")
+    graph = bind(
+        """try_variant_get(node, '$["@graph"]', 'variant')""", "graph",
+        "CASE WHEN graph IS NOT NULL THEN array(graph) END",
     )
-
-    def own_types(node: Column) -> Column:
-        return F.coalesce(
-            F.try_variant_get(node, '$["@type"]', "array<string>"),
-            F.array(F.try_variant_get(node, '$["@type"]', "string")),
-        )
-
-    def children(node: Column) -> Column:
-        graph = F.try_variant_get(node, '$["@graph"]', "variant")
-        return F.coalesce(
-            F.try_variant_get(node, "$", "array<variant>"),
-            F.when(graph.isNotNull(), F.array(graph)),
-            F.array().cast("array<variant>"),
-        )
-
-    def step(acc: Column, _: Column) -> Column:
-        frontier = acc["frontier"]
-        return F.struct(
-            F.flatten(F.transform(frontier, children)).alias("frontier"),
-            F.concat(acc["types"], F.flatten(F.transform(frontier, own_types))).alias("types"),
-        )
-
-    walked = F.reduce(steps, start, step, lambda acc: acc["types"])
-    names = F.array_distinct(F.filter(walked, lambda name: name.isNotNull() & (name != "")))
-    return F.when(F.size(blocks) > 0, names).otherwise(F.array().cast("array<string>"))
+    children = f"coalesce(try_variant_get(node, '$', 'array<variant>'), {graph}, {_EMPTY_NODES})"
+    walked = (
+        f"reduce(sequence(1, least({openings}, {_MAX_NESTING})), "
+        f"named_struct('frontier', {blocks}, 'types', {_EMPTY_NAMES}), (acc, step) -> named_struct("
+        f"'frontier', flatten(transform(acc.frontier, node -> {children})), "
+        f"'types', concat(acc.types, flatten(transform(acc.frontier, node -> {own})))), acc -> acc.types)"
+    )
+    names = f"array_distinct(filter({walked}, name -> name IS NOT NULL AND name <> ''))"
+    return f"CASE WHEN size({blocks}) > 0 THEN {names} ELSE {_EMPTY_NAMES} END"
 
 
-def mentions_author(blocks: Column) -> Column:
+def mentions_author(blocks: str) -> str:
     """Whether ``"author"`` appears, quotes included, as key or value of any kept block."""
-    return F.exists(
-        blocks, lambda block: F.contains(F.lower(F.to_json(block)), F.lit('"author"'))
-    )
+    return f"""exists({blocks}, block -> contains(lower(to_json(block)), '"author"'))"""

@@ -1,4 +1,4 @@
-"""URL normalisation, origin and path template as Column expressions.
+"""URL normalisation, origin and path template as Spark SQL expressions.
 
 A URL is split once into a struct and put together again from its parts. Not covered: host names
 outside ASCII stay as written, and schemes other than http and https are kept untouched.
@@ -6,14 +6,11 @@ outside ASCII stay as written, and schemes other than http and https are kept un
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pagecensus.functions.text import bind, pattern, quoted
 
-from pagecensus.functions.text import bind
-
-_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-_WEB_URL = r"^[A-Za-z]+:[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
-_HOST = r"^(?:\[[0-9a-f:.]+\]|[^\x00-\x20\"#%/:<>?@\[\\\]\^`{|}\x7f]+)$"
+_SCHEME = pattern(r"^([A-Za-z][A-Za-z0-9+.\-]*):")
+_WEB_URL = pattern(r"^[A-Za-z]+:[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$")
+_HOST = pattern(r"^(?:\[[0-9a-f:.]+\]|[^\x00-\x20\x22#%/:<>?@\[\\\]\^`{|}\x7f]+)$")
 
 # Characters a URL carries percent-encoded, per part.
 _ENCODE_PATH = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "`": "%60", "{": "%7B", "}": "%7D", "^": "%5E"}
@@ -21,118 +18,87 @@ _ENCODE_QUERY = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "'": "%27"}
 _ENCODE_FRAGMENT = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "`": "%60"}
 
 
-def _percent_encode(text: Column, table: dict[str, str]) -> Column:
+def _percent_encode(text: str, table: dict[str, str]) -> str:
     ascii_done = text
     for char, code in table.items():
-        ascii_done = F.replace(ascii_done, F.lit(char), F.lit(code))
-    per_char = F.transform(
-        F.split(ascii_done, ""),
-        lambda c: F.when(
-            c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.hex(c), "(..)", "%$1")
-        ).otherwise(c),
+        ascii_done = f"replace({ascii_done}, {quoted(char)}, {quoted(code)})"
+    special = pattern(r"[^\x00-\x7F]")
+    return (
+        f"CASE WHEN {text} RLIKE {special} THEN array_join(transform(split({ascii_done}, ''), "
+        f"c -> CASE WHEN c RLIKE {special} THEN regexp_replace(hex(c), '(..)', '%$1') ELSE c END), '') "
+        f"ELSE {ascii_done} END"
     )
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(per_char, "")).otherwise(ascii_done)
 
 
-def _without_dots(path: Column) -> Column:
+def _without_dots(path: str) -> str:
     """Resolve ``.`` and ``..`` path segments."""
-    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
-    walked = F.reduce(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, part: F.when(
-            part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        )
-        .when(part == ".", acc)
-        .otherwise(F.array_append(acc, part)),
-    )
-    end = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
-    resolved = F.concat(F.lit("/"), F.array_join(walked, "/"), end)
-    return F.when(
-        path.rlike(r"/\.\.?(/|$)"), F.regexp_replace(resolved, r"^/+(?=/$)", "")
-    ).otherwise(path)
-
-
-def _split(url: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    return bind(
-        text,
-        lambda t: F.struct(
-            t.alias("text"),
-            F.lower(F.regexp_extract(t, _SCHEME, 1)).alias("scheme"),
-            F.regexp_extract(t, _WEB_URL, 1).alias("authority"),
-            F.regexp_extract(t, _WEB_URL, 2).alias("path"),
-            F.regexp_extract(t, _WEB_URL, 3).alias("query"),
-            F.regexp_extract(t, _WEB_URL, 4).alias("fragment"),
-        ),
+    walked = (
+        f"reduce(slice(split({path}, '/'), 2, size(split({path}, '/'))), CAST(array() AS ARRAY<STRING>), "
+        "(acc, part) -> CASE WHEN part = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) "
+        "WHEN part = '.' THEN acc ELSE array_append(acc, part) END)"
     )
-
-
-def _build(parts: Column) -> Column:
-    hostport = F.regexp_extract(parts["authority"], r"([^@]*)$", 1)
-    userinfo = F.regexp_replace(parts["authority"], r"[^@]*$", "")
-    pieces = F.struct(
-        parts["text"].alias("text"),
-        parts["scheme"].alias("scheme"),
-        F.lower(F.regexp_replace(hostport, r":[0-9]*$", "")).alias("host"),
-        F.regexp_extract(hostport, r":([0-9]+)$", 1).alias("port"),
-        F.when(userinfo.isin("@", ":@"), "").otherwise(userinfo).alias("userinfo"),
-        F.regexp_replace(parts["path"], r"\\", "/").alias("path"),
-        F.when(parts["query"] == "?", "").otherwise(parts["query"]).alias("query"),
-        F.when(parts["fragment"] == "#", "").otherwise(parts["fragment"]).alias("fragment"),
-    )
-
-    def assemble(p: Column) -> Column:
-        # Default ports.
-        default = ((p["scheme"] == "http") & (p["port"].try_cast("int") == 80)) | (
-            (p["scheme"] == "https") & (p["port"].try_cast("int") == 443)
-        )
-        port = F.when((p["port"] == "") | default, "").otherwise(
-            F.concat(F.lit(":"), p["port"].try_cast("int").cast("string"))
-        )
-        web = p["scheme"].isin("http", "https")
-        valid = p["host"].rlike(_HOST) & (
-            (p["port"] == "") | (F.coalesce(p["port"].try_cast("int"), F.lit(65536)) <= 65535)
-        )
-        origin = F.concat(p["scheme"], F.lit("://"), p["host"], port)
-        path = F.when(p["path"] == "", "/").otherwise(_without_dots(_percent_encode(p["path"], _ENCODE_PATH)))
-        href = F.concat(
-            p["scheme"],
-            F.lit("://"),
-            p["userinfo"],
-            p["host"],
-            port,
-            path,
-            _percent_encode(p["query"], _ENCODE_QUERY),
-            _percent_encode(p["fragment"], _ENCODE_FRAGMENT),
-        )
-        as_web = F.when(web & valid, F.struct(href.alias("url"), origin.alias("origin"), path.alias("path")))
-        return as_web.when(
-            ~web & (p["scheme"] != ""),
-            F.struct(p["text"].alias("url"), F.lit("null").alias("origin"), F.lit("").alias("path")),
-        )
-
-    return bind(pieces, assemble)
-
-
-def parse_url(url: Column) -> Column:
+    ends_open = pattern(r"/\.\.?$")
+    end = f"CASE WHEN {path} RLIKE {ends_open} THEN '/' ELSE '' END"
+    resolved = f"regexp_replace(concat('/', array_join({walked}, '/'), {end}), r'^/+(?=/$)', '')"
+    has_dots = pattern(r"/\.\.?(/|$)")
+    return f"CASE WHEN {path} RLIKE {has_dots} THEN {resolved} ELSE {path} END"
+
+
+def _split(url: str) -> str:
+    ends = pattern(r"^[\x00-\x20]+|[\x00-\x20]+$")
+    breaks = pattern(r"[\t\n\r]")
+    text = f"regexp_replace(regexp_replace({url}, {ends}, ''), {breaks}, '')"
+    fields = [f"'text', t, 'scheme', lower(regexp_extract(t, {_SCHEME}, 1))"]
+    for n, name in enumerate(("authority", "path", "query", "fragment"), start=1):
+        fields.append(f"'{name}', regexp_extract(t, {_WEB_URL}, {n})")
+    return bind(text, "t", f"named_struct({', '.join(fields)})")
+
+
+_HOST_PORT = "regexp_extract(u.authority, '([^@]*)$', 1)"
+_USER_INFO = "regexp_replace(u.authority, '[^@]*$', '')"
+_BACKSLASH = quoted("\\")
+_PIECES = f"""named_struct(
+  'text', u.text,
+  'scheme', u.scheme,
+  'host', lower(regexp_replace({_HOST_PORT}, ':[0-9]*$', '')),
+  'port', regexp_extract({_HOST_PORT}, ':([0-9]+)$', 1),
+  'userinfo', CASE WHEN {_USER_INFO} IN ('@', ':@') THEN '' ELSE {_USER_INFO} END,
+  'path', replace(u.path, {_BACKSLASH}, '/'),
+  'query', CASE WHEN u.query = '?' THEN '' ELSE u.query END,
+  'fragment', CASE WHEN u.fragment = '#' THEN '' ELSE u.fragment END)"""
+_PORT_NUMBER = "try_cast(p.port AS INT)"
+# Default ports.
+_PORT = f"""CASE WHEN p.port = '' OR (p.scheme = 'http' AND {_PORT_NUMBER} = 80) OR (p.scheme = 'https' AND {_PORT_NUMBER} = 443)
+  THEN '' ELSE concat(':', {_PORT_NUMBER}) END"""
+_ORIGIN = f"concat(p.scheme, '://', p.host, {_PORT})"
+_PATH = f"CASE WHEN p.path = '' THEN '/' ELSE {bind(_percent_encode('p.path', _ENCODE_PATH), 'd', _without_dots)} END"
+_URL = f"""concat(p.scheme, '://', p.userinfo, p.host, {_PORT}, {_PATH},
+  {_percent_encode('p.query', _ENCODE_QUERY)}, {_percent_encode('p.fragment', _ENCODE_FRAGMENT)})"""
+_ASSEMBLED = f"""CASE
+  WHEN p.scheme IN ('http', 'https') AND p.host RLIKE {_HOST} AND (p.port = '' OR coalesce({_PORT_NUMBER}, 65536) <= 65535)
+    THEN named_struct('url', {_URL}, 'origin', {_ORIGIN}, 'path', {_PATH})
+  WHEN p.scheme NOT IN ('', 'http', 'https') THEN named_struct('url', p.text, 'origin', 'null', 'path', '') END"""
+
+
+def parse_url(url: str) -> str:
     """``struct<url, origin, path>`` of an absolute URL, null when it is not one."""
-    return bind(_split(url), _build)
+    return bind(_split(url), "u", bind(_PIECES, "p", _ASSEMBLED))
 
 
-def parse_or_assume_https(url: Column) -> Column:
+def parse_or_assume_https(url: str) -> str:
     """``parse_url``, with an ``https://`` prefix where the text alone is no URL."""
-    return F.coalesce(parse_url(url), parse_url(F.concat(F.lit("https://"), url)))
+    prefixed = f"concat('https://', {url})"
+    return f"coalesce({parse_url(url)}, {parse_url(prefixed)})"
 
 
-def template_of(path: Column) -> Column:
+def template_of(path: str) -> str:
     """Coarse page template of a URL path."""
-    parts = F.filter(F.split(path, "/"), lambda part: part != "")
     return bind(
-        parts,
-        lambda p: F.when(F.size(p) == 0, F.lit("home"))
-        .when(F.exists(p, lambda part: part.rlike(r"^[0-9]{4}$")), F.lit("article/date"))
-        .when(F.size(p) == 1, F.concat(F.get(p, F.lit(0)), F.lit(" index")))
-        .when(F.size(p) >= 3, F.concat(F.get(p, F.lit(0)), F.lit(" detail")))
-        .otherwise(F.concat(F.get(p, F.lit(0)), F.lit(" page"))),
+        f"filter(split({path}, '/'), part -> part <> '')",
+        "parts",
+        "CASE WHEN size(parts) = 0 THEN 'home' "
+        "WHEN exists(parts, part -> part RLIKE '^[0-9]{4}$') THEN 'article/date' "
+        "WHEN size(parts) = 1 THEN concat(parts[0], ' index') "
+        "WHEN size(parts) >= 3 THEN concat(parts[0], ' detail') "
+        "ELSE concat(parts[0], ' page') END",
     )

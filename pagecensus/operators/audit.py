@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagecensus.functions.text import quoted
+
 SKIPPED_NOTE = "Rendered pages were not part of this run."
 FAILED_RENDER = "The page itself could not be audited."
 
 # Into how many pieces each origin's pages are split for the join with its flags.
 ORIGIN_SALTS = 8
 
+_NO_RENDER = (
+    "CAST(NULL AS BOOLEAN) AS ok",
+    "CAST(NULL AS BOOLEAN) AS skipped",
+    "CAST(NULL AS STRING) AS render_error",
+    "0 AS rendered_text_length",
+    "CAST(array() AS ARRAY<STRING>) AS rendered_h1s",
+    "0 AS rendered_json_ld_count",
+)
+
 
 def with_render(facts: DataFrame, rendered: DataFrame | None) -> DataFrame:
     """Compare static with rendered facts.
@@ -19,36 +30,27 @@ def with_render(facts: DataFrame, rendered: DataFrame | None) -> DataFrame:
     a rendered row counts as skipped, and a failed page is never compared.
     """
     if rendered is None:
-        joined = facts.withColumns(
-            {
-                "ok": F.lit(False),
-                "skipped": F.lit(True),
-                "render_error": F.lit(SKIPPED_NOTE),
-                "rendered_text_length": F.lit(0),
-                "rendered_h1s": F.array().cast("array<string>"),
-                "rendered_json_ld_count": F.lit(0),
-            }
-        )
+        joined = facts.selectExpr("*", *_NO_RENDER)
     else:
         joined = facts.join(rendered, "page_id", "left")
-    failed = F.col("error").isNotNull()
     compared = joined.withColumns(
         {
-            "render_ok": ~failed & F.coalesce(F.col("ok"), F.lit(False)),
-            "render_skipped": failed | F.coalesce(F.col("skipped"), F.lit(True)),
-            "render_error": F.when(failed, FAILED_RENDER)
-            .when(F.col("ok").isNull(), SKIPPED_NOTE)
-            .otherwise(F.col("render_error")),
+            "render_ok": F.expr("error IS NULL AND coalesce(ok, false)"),
+            "render_skipped": F.expr("error IS NOT NULL OR coalesce(skipped, true)"),
+            "render_error": F.expr(
+                f"CASE WHEN error IS NOT NULL THEN {quoted(FAILED_RENDER)} "
+                f"WHEN ok IS NULL THEN {quoted(SKIPPED_NOTE)} ELSE render_error END"
+            ),
         }
     )
-    grown = F.greatest(F.lit(0), F.col("rendered_text_length") - F.col("visible_text_length"))
-    added = F.greatest(F.lit(0), F.col("rendered_json_ld_count") - F.col("json_ld_count"))
-    changed = F.array_join("h1s", "|") != F.array_join("rendered_h1s", "|")
+    grown = "greatest(0, rendered_text_length - visible_text_length)"
+    added = "greatest(0, rendered_json_ld_count - json_ld_count)"
+    changed = "array_join(h1s, '|') <> array_join(rendered_h1s, '|')"
     return compared.withColumns(
         {
-            "text_growth": F.when(F.col("render_ok"), grown).otherwise(0),
-            "h1_changed": F.when(F.col("render_ok"), changed).otherwise(False),
-            "schema_blocks_added": F.when(F.col("render_ok"), added).otherwise(0),
+            "text_growth": F.expr(f"CASE WHEN render_ok THEN {grown} ELSE 0 END"),
+            "h1_changed": F.expr(f"render_ok AND {changed}"),
+            "schema_blocks_added": F.expr(f"CASE WHEN render_ok THEN {added} ELSE 0 END"),
         }
     ).drop("ok", "skipped", "rendered_text_length", "rendered_h1s", "rendered_json_ld_count")
 
@@ -60,15 +62,14 @@ def with_resource_flags(facts: DataFrame, flags: DataFrame, salts: int = ORIGIN_
     spreads an origin over several tasks. The salt also keeps later grouping by origin from reusing
     this join's partitioning, so adaptive execution stays free to split what is still too big.
     """
-    salted_pages = facts.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    salted_flags = flags.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    audited = F.col("error").isNull()
+    salted_pages = facts.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64(page_id), {salts}) AS INT)"))
+    salted_flags = flags.withColumn("_salt", F.expr(f"explode(sequence(0, {salts - 1}))"))
     return (
         salted_pages.join(salted_flags, ["origin", "_salt"], "left")
         .drop("_salt")
         .withColumns(
             {
-                name: audited & F.coalesce(F.col(name), F.lit(False))
+                name: F.expr(f"error IS NULL AND coalesce({name}, false)")
                 for name in ("has_robots_txt", "has_sitemap")
             }
         )

@@ -6,75 +6,58 @@ until the page cap has cut them down, so no entry is shuffled that is not audite
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagecensus.functions.text import WORD_END, WS, decode_entities, trim_space
+from pagecensus.functions.text import WORD_END, WS, decode_entities, pattern, quoted, trim_space
 from pagecensus.functions.urls import parse_url, template_of
 
 # What a sitemap entry and a sitemap index look like, and how many children count.
-LOC = rf"(?i)<loc>{WS}*([\s\S]*?){WS}*</loc>"
-SITEMAP_INDEX = rf"(?i)<sitemapindex{WORD_END}"
+LOC = pattern(rf"(?i)<loc>{WS}*([\s\S]*?){WS}*</loc>")
+SITEMAP_INDEX = pattern(rf"(?i)<sitemapindex{WORD_END}")
 MAX_CHILD_SITEMAPS = 5
 
 NOT_FETCHED = "sitemap was not fetched"
 
+_NO_URLS = "CAST(array() AS ARRAY<STRING>)"
 
-def entries(body: Column) -> Column:
+
+def entries(body: str) -> str:
     """``array<struct<url, origin, path>>`` of a sitemap's valid entries, in file order."""
-    texts = F.transform(
-        F.regexp_extract_all(body, F.lit(LOC), F.lit(1)),
-        lambda text: decode_entities(trim_space(text)),
-    )
-    parsed = F.transform(F.filter(texts, lambda text: text != ""), parse_url)
-    return F.filter(parsed, lambda entry: entry.isNotNull())
+    decoded = decode_entities(trim_space("l"))
+    texts = f"transform(regexp_extract_all({body}, {LOC}, 1), l -> {decoded})"
+    parsed = f"transform(filter({texts}, l -> l <> ''), l -> {parse_url('l')})"
+    return f"filter({parsed}, e -> e IS NOT NULL)"
 
 
-def own_urls(listed: Column, origin: Column) -> Column:
-    """URLs of those entries that belong to ``origin``."""
-    own = F.filter(listed, lambda entry: entry["origin"] == origin)
-    return F.transform(own, lambda entry: entry["url"])
+def own_urls(listed: str) -> str:
+    """URLs of those entries that belong to the row's ``origin``."""
+    return f"transform(filter({listed}, e -> e.origin = origin), e -> e.url)"
 
 
 def sitemap_urls(resources: DataFrame) -> DataFrame:
     """Entries of each origin's own sitemap body, in order."""
-    listed = resources.select("origin", entries(F.col("sitemap_body")).alias("listed"))
-    return listed.select(
-        "origin", F.posexplode(own_urls(F.col("listed"), F.col("origin"))).alias("pos", "url")
+    return resources.selectExpr(
+        "origin", f"posexplode({own_urls(entries('sitemap_body'))}) AS (pos, url)"
     )
 
 
-def _is_index() -> Column:
-    return F.col("sitemap_body").rlike(SITEMAP_INDEX)
-
-
 def _child_lists(resources: DataFrame, files: DataFrame) -> DataFrame:
     """The URLs each readable child of a sitemap index lists, one row per child.
 
     Only the first children of the same origin are read, and only one level deep.
     """
-    indexes = resources.where(_is_index()).select(
-        "origin", entries(F.col("sitemap_body")).alias("listed")
-    )
-    children = indexes.select(
-        "origin",
-        F.posexplode(
-            F.slice(own_urls(F.col("listed"), F.col("origin")), F.lit(1), F.lit(MAX_CHILD_SITEMAPS))
-        ).alias("child", "url"),
-    )
-    readable = files.where(F.col("status").between(200, 299)).select(
-        "url", entries(F.col("body")).alias("listed")
-    )
-    return children.join(readable, "url").select(
-        "origin", "child", own_urls(F.col("listed"), F.col("origin")).alias("urls")
+    first = f"slice({own_urls(entries('sitemap_body'))}, 1, {MAX_CHILD_SITEMAPS})"
+    children = resources.where(f"sitemap_body RLIKE {SITEMAP_INDEX}").selectExpr(
+        "origin", f"posexplode({first}) AS (child, url)"
     )
+    readable = files.where("status BETWEEN 200 AND 299").selectExpr("url", f"{entries('body')} AS listed")
+    return children.join(readable, "url").selectExpr("origin", "child", f"{own_urls('listed')} AS urls")
 
 
 def sitemap_index_urls(resources: DataFrame, files: DataFrame) -> DataFrame:
     """Pages listed by the children of sitemap indexes."""
-    return _child_lists(resources, files).select(
-        "origin", "child", F.posexplode("urls").alias("pos", "url")
-    )
+    return _child_lists(resources, files).selectExpr("origin", "child", "posexplode(urls) AS (pos, url)")
 
 
 def discover(seeds: DataFrame, resources: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -83,92 +66,62 @@ def discover(seeds: DataFrame, resources: DataFrame, files: DataFrame | None = N
     The start URL comes first, then the sitemap in order; of equal URLs the first one stays. A
     sitemap that was not answered with a 2xx status leaves the start URL alone.
     """
-    sites = seeds.join(
-        resources.select(
-            "origin",
-            "sitemap_status",
-            _is_index().alias("is_index"),
-            own_urls(entries(F.col("sitemap_body")), F.col("origin")).alias("listed"),
-        ),
+    sitemaps = resources.selectExpr(
         "origin",
-        "left",
+        "sitemap_status",
+        f"sitemap_body RLIKE {SITEMAP_INDEX} AS is_index",
+        f"{own_urls(entries('sitemap_body'))} AS listed",
     )
-    nothing = F.array().cast("array<string>")
-    answered = F.coalesce(F.col("sitemap_status").between(200, 299), F.lit(False))
-    direct = F.when(~F.col("is_index"), F.col("listed"))
+    sites = seeds.join(sitemaps, "origin", "left")
     if files is None:
-        found = F.coalesce(direct, nothing)
+        sites = sites.withColumn("expanded", F.expr(_NO_URLS))
     else:
         # At most MAX_CHILD_SITEMAPS rows per origin come together here.
         expanded = (
             _child_lists(resources, files)
             .groupBy("origin")
-            .agg(F.array_sort(F.collect_list(F.struct("child", "urls"))).alias("children"))
-            .select("origin", F.flatten(F.transform("children", lambda c: c["urls"])).alias("expanded"))
+            .agg(F.expr("array_sort(collect_list(named_struct('child', child, 'urls', urls))) AS children"))
+            .selectExpr("origin", "flatten(transform(children, c -> c.urls)) AS expanded")
         )
         sites = sites.join(expanded, "origin", "left")
-        found = F.coalesce(direct, F.col("expanded"), nothing)
+    found = f"CASE WHEN answered THEN coalesce(CASE WHEN is_index THEN expanded ELSE listed END, {_NO_URLS}) ELSE {_NO_URLS} END"
     return (
-        sites.withColumn("found", F.when(answered, found).otherwise(nothing))
-        .select(
+        sites.withColumn("answered", F.expr("coalesce(sitemap_status BETWEEN 200 AND 299, false)"))
+        .withColumn("found", F.expr(found))
+        .selectExpr(
             "origin",
             "start_url",
             "max_pages",
-            F.concat("origin", F.lit("/sitemap.xml")).alias("sitemap_url"),
-            F.when(F.size("found") > 0, "sitemap.xml").otherwise("fallback").alias("method"),
-            F.size("found").alias("total_discovered"),
-            F.when(~answered & (F.coalesce("sitemap_status", F.lit(0)) == 0), F.lit(NOT_FETCHED))
-            .when(~answered, F.concat(F.lit("HTTP "), F.col("sitemap_status").cast("string")))
-            .alias("error"),
-            F.slice(
-                F.array_distinct(F.concat(F.array("start_url"), "found")), F.lit(1), F.col("max_pages")
-            ).alias("urls"),
+            "concat(origin, '/sitemap.xml') AS sitemap_url",
+            "CASE WHEN size(found) > 0 THEN 'sitemap.xml' ELSE 'fallback' END AS method",
+            "size(found) AS total_discovered",
+            f"CASE WHEN answered THEN NULL WHEN coalesce(sitemap_status, 0) = 0 THEN {quoted(NOT_FETCHED)} "
+            "ELSE concat('HTTP ', sitemap_status) END AS error",
+            "slice(array_distinct(concat(array(start_url), found)), 1, max_pages) AS urls",
         )
     )
 
 
 def discovered_urls(sites: DataFrame) -> DataFrame:
     """The pages to audit, numbered from 1 in discovery order."""
-    return sites.select("origin", F.posexplode("urls").alias("pos", "url")).select(
-        "origin",
-        (F.col("pos") + 1).alias("page_pos"),
-        "url",
-        template_of(F.coalesce(parse_url(F.col("url"))["path"], F.lit(""))).alias("template"),
+    path = f"coalesce({parse_url('url')}.path, '')"
+    return sites.selectExpr("origin", "posexplode(urls) AS (pos, url)").selectExpr(
+        "origin", "pos + 1 AS page_pos", "url", f"{template_of(path)} AS template"
     )
 
 
-def discovery_summary(sites: DataFrame) -> DataFrame:
-    audited = F.size("urls")
-    return sites.select(
-        "origin",
-        "start_url",
-        "sitemap_url",
-        "method",
-        "total_discovered",
-        audited.alias("audited"),
-        "error",
-        discovery_text(audited).alias("description"),
+def discovery_text(audited: str) -> str:
+    """How the pages of a site were found, in words."""
+    return (
+        f"CASE WHEN method = 'sitemap.xml' THEN concat('sitemap.xml, ', total_discovered, ' listed, ', {audited}, ' audited') "
+        "WHEN error IS NOT NULL THEN concat('start URL only (', error, ')') ELSE 'start URL only' END"
     )
 
 
-def discovery_text(audited: Column) -> Column:
-    """How the pages were found, in words."""
-    return (
-        F.when(
-            F.col("method") == "sitemap.xml",
-            F.concat(
-                F.lit("sitemap.xml, "),
-                F.col("total_discovered").cast("string"),
-                F.lit(" listed, "),
-                audited.cast("string"),
-                F.lit(" audited"),
-            ),
-        )
-        .when(
-            F.col("error").isNotNull(),
-            F.concat(F.lit("start URL only ("), F.col("error"), F.lit(")")),
-        )
-        .otherwise(F.lit("start URL only"))
+def discovery_summary(sites: DataFrame) -> DataFrame:
+    return sites.selectExpr(
+        "origin", "start_url", "sitemap_url", "method", "total_discovered", "size(urls) AS audited",
+        "error", f"{discovery_text('size(urls)')} AS description",
     )
 
 

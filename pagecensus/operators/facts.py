@@ -1,44 +1,48 @@
 """Page facts: one narrow row per page, extracted next to the scan.
 
-Two projections. ``with_tags`` reads the document, each kind of tag in one pass. ``derive`` works on
-the short pieces only. Everything the rules and reports need ends up as small columns, so no later
+The first projection reads the document, each kind of tag in one pass. The next ones work on the
+short pieces only. Everything the rules and reports need ends up as small columns, so no later
 stage sees the document, its scripts or its links.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagecensus.functions import jsonld
 from pagecensus.functions.text import (
+    NO_QUOTE,
+    QUOTE,
     WORD_END,
     WORD_START,
     WS_SET,
     attribute,
     meta_content,
+    pattern,
     strip_document,
     strip_tags,
     utf16_length,
 )
 
 # What counts as a title, heading, script, link, image and so on.
-TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title>"
-H1 = rf"(?i)<h1{WORD_END}[^>]*>([\s\S]*?)</h1>"
-SCRIPT = rf"(?i)<script{WORD_END}[^>]*>[\s\S]*?</script>"
-LINK = rf"(?i)<link{WORD_END}([^>]*)>"
-META = rf"(?i)<meta{WORD_END}([^>]+)>"
-CANONICAL = (
-    rf"(?i)<link{WORD_END}(?=[^>]*{WORD_START}rel=[\"'][^\"']*canonical[^\"']*[\"'])([^>]+)>"
+TITLE = pattern(r"(?i)<title[^>]*>([\s\S]*?)</title>")
+H1 = pattern(rf"(?i)<h1{WORD_END}[^>]*>([\s\S]*?)</h1>")
+SCRIPT = pattern(rf"(?i)<script{WORD_END}[^>]*>[\s\S]*?</script>")
+LINK = pattern(rf"(?i)<link{WORD_END}([^>]*)>")
+META = pattern(rf"(?i)<meta{WORD_END}([^>]+)>")
+CANONICAL = pattern(
+    rf"(?i)<link{WORD_END}(?=[^>]*{WORD_START}rel={QUOTE}{NO_QUOTE}*canonical{NO_QUOTE}*{QUOTE})([^>]+)>"
 )
-HTML_TAG = r"(?i)<html([^>]+)"
-IMAGE = rf"(?i)<img{WORD_END}"
-LAZY_IMAGE = rf"(?i)<img{WORD_END}[^>]*loading=[\"']lazy[\"']"
-JSON_LD_TYPE = r"(?i)type=[\"']application/ld\+json[\"']"
-STYLESHEET = rf"(?i){WORD_START}stylesheet{WORD_END}"
-EXTERNAL = r"(?i)^https?://"
-GTM = r"(?i)googletagmanager\.com/gtm\.js|GTM-[A-Z0-9]"
-GA4 = r"(?i)googletagmanager\.com/gtag/js|G-[A-Z0-9]|gtag\("
+HTML_TAG = pattern(r"(?i)<html([^>]+)")
+IMAGE = pattern(rf"(?i)<img{WORD_END}")
+LAZY_IMAGE = pattern(rf"(?i)<img{WORD_END}[^>]*loading={QUOTE}lazy{QUOTE}")
+JSON_LD_TYPE = pattern(rf"(?i)type={QUOTE}application/ld\+json{QUOTE}")
+DIR_RTL = pattern(rf"(?i)dir={QUOTE}rtl{QUOTE}")
+STYLESHEET = pattern(rf"(?i){WORD_START}stylesheet{WORD_END}")
+EXTERNAL = pattern(r"(?i)^https?://")
+GTM = pattern(r"(?i)googletagmanager\.com/gtm\.js|GTM-[A-Z0-9]")
+GA4 = pattern(r"(?i)googletagmanager\.com/gtag/js|G-[A-Z0-9]|gtag\(")
 RISKY_CALLS = ("eval(", "document.write(", "atob(", "fromcharcode", "unescape(")
 FRAMEWORKS = {
     "next": ("__next_data__", "/_next/"),
@@ -46,152 +50,117 @@ FRAMEWORKS = {
     "react": ("react",),
     "vue": ("data-v-", "vue"),
 }
-ROBOTS_NOT_FOUND = rf"(?i)^404{WORD_END}"
-SITEMAP_BODY = r"(?i)<urlset|<sitemapindex"
-
-
-def _contains_any(text: Column, needles: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for needle in needles:
-        found = found | F.contains(text, F.lit(needle))
-    return found
-
-
-def _script(element: Column) -> Column:
-    """Attributes, body and source of one whole ``<script ...>...</script>`` text."""
-    opening = F.substring_index(element, ">", 1)
-    attrs = F.substring(opening, F.lit(len("<script") + 1), F.length(opening))
-    body_length = F.length(element) - F.length(opening) - len(">") - len("</script>")
-    return F.struct(
-        attrs.alias("attrs"),
-        F.substring(element, F.length(opening) + 2, body_length).alias("body"),
-        attribute(attrs, "src").alias("src"),
-    )
+ROBOTS_NOT_FOUND = pattern(rf"(?i)^404{WORD_END}")
+SITEMAP_BODY = pattern(r"(?i)<urlset|<sitemapindex")
+
+# Columns of ``crawl_pages`` that go along with the facts.
+PAGE_COLUMNS = ("page_id", "origin", "url", "template", "status", "error", "csp")
 
 
-def _scripts(texts: Column) -> Column:
-    return F.transform(texts, _script)
+def _contains_any(text: str, needles: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{needle}')" for needle in needles) + ")"
 
 
-def scripts(html: Column) -> Column:
-    return _scripts(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(0)))
+# Attributes, body and source of ``s``, one whole ``<script ...>...</script>`` text.
+_OPENING = "substring_index(s, '>', 1)"
+_ATTRS = f"substring({_OPENING}, {len('<script') + 1})"
+_BODY = f"substring(s, length({_OPENING}) + 2, length(s) - length({_OPENING}) - {len('>') + len('</script>')})"
 
 
-def _links(texts: Column) -> Column:
-    return F.transform(
-        texts,
-        lambda attrs: F.struct(
-            attrs.alias("attrs"),
-            attribute(attrs, "rel").alias("rel"),
-            attribute(attrs, "href").alias("href"),
-            attribute(attrs, "hreflang").alias("hreflang"),
-        ),
+def _script_structs(texts: str) -> str:
+    return (
+        f"transform({texts}, s -> named_struct('attrs', {_ATTRS}, "
+        f"'src', {attribute(_ATTRS, 'src')}, 'body', {_BODY}))"
     )
 
 
-def links(html: Column) -> Column:
-    return _links(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)))
+def script_texts(html: str) -> str:
+    return f"regexp_extract_all({html}, {SCRIPT}, 0)"
+
+
+def scripts(html: str) -> str:
+    """``array<struct<attrs, src, body>>``."""
+    return _script_structs(script_texts(html))
+
 
+def links(html: str) -> str:
+    """``array<struct<attrs, rel, href, hreflang>>``."""
+    values = ", ".join(f"'{name}', {attribute('l', name)}" for name in ("rel", "href", "hreflang"))
+    return f"transform(regexp_extract_all({html}, {LINK}, 1), l -> named_struct('attrs', l, {values}))"
 
-def h1s(html: Column) -> Column:
+
+def h1s(html: str) -> str:
     """Headings with their tags stripped. Empty ones stay and count."""
-    return F.transform(F.regexp_extract_all(html, F.lit(H1), F.lit(1)), strip_tags)
+    return f"transform(regexp_extract_all({html}, {H1}, 1), h -> {strip_tags('h')})"
 
 
-def json_ld_bodies(page_scripts: Column) -> Column:
-    marked = F.filter(page_scripts, lambda s: s["attrs"].rlike(JSON_LD_TYPE))
-    return F.transform(marked, lambda s: s["body"])
+def json_ld_bodies(page_scripts: str) -> str:
+    marked = f"filter({page_scripts}, s -> s.attrs RLIKE {JSON_LD_TYPE})"
+    return f"transform({marked}, s -> s.body)"
 
 
-def _html_attribute(tags: Column, name: str) -> Column:
+def _html_attribute(name: str) -> str:
     """The last ``name=`` of the first html tag that has one; quotes are optional."""
-    pattern = rf"(?i)^[\s\S]+{name}=[\"']?([^\"'{WS_SET}]+)"
-    having = F.get(F.filter(tags, lambda attrs: attrs.rlike(pattern)), F.lit(0))
-    return strip_tags(F.coalesce(F.regexp_extract(having, pattern, 1), F.lit("")))
+    value = pattern(rf"(?i)^[\s\S]+{name}={QUOTE}?([^\x22\x27{WS_SET}]+)")
+    having = f"get(filter(_html_tags, tag -> tag RLIKE {value}), 0)"
+    return strip_tags(f"coalesce(regexp_extract({having}, {value}, 1), '')")
 
 
-# What one pass over the document each yields. No higher-order functions here, so that this
-# projection compiles together with the scan.
+# What one pass over the document each yields. No lambda functions here, so that this projection
+# compiles together with the scan.
 _FROM_DOCUMENT = {
-    "title": lambda html: strip_tags(F.regexp_extract(html, TITLE, 1)),
-    "canonical": lambda html: attribute(F.regexp_extract(html, CANONICAL, 1), "href"),
-    "visible_text_length": lambda html: utf16_length(strip_document(html)),
-    "image_count": lambda html: F.regexp_count(html, F.lit(IMAGE)),
-    "_h1s": lambda html: F.regexp_extract_all(html, F.lit(H1), F.lit(1)),
-    "_html_tags": lambda html: F.regexp_extract_all(html, F.lit(HTML_TAG), F.lit(1)),
-    "_metas": lambda html: F.regexp_extract_all(html, F.lit(META), F.lit(1)),
-    "_script_texts": lambda html: F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(0)),
-    "_link_texts": lambda html: F.regexp_extract_all(html, F.lit(LINK), F.lit(1)),
+    "title": strip_tags(f"regexp_extract(html, {TITLE}, 1)"),
+    "canonical": attribute(f"regexp_extract(html, {CANONICAL}, 1)", "href"),
+    "visible_text_length": utf16_length(strip_document("html")),
+    "image_count": f"regexp_count(html, {IMAGE})",
+    "lazy_images": f"CASE WHEN contains(lower(html), 'lazy') THEN regexp_count(html, {LAZY_IMAGE}) ELSE 0 END",
+    "framework": "named_struct("
+    + ", ".join(f"'{name}', {_contains_any('lower(html)', words)}" for name, words in FRAMEWORKS.items())
+    + ")",
+    "_h1s": f"regexp_extract_all(html, {H1}, 1)",
+    "_html_tags": f"regexp_extract_all(html, {HTML_TAG}, 1)",
+    "_metas": f"regexp_extract_all(html, {META}, 1)",
+    "_script_texts": script_texts("html"),
+    "_link_texts": f"regexp_extract_all(html, {LINK}, 1)",
 }
 
-
-def with_tags(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """First pass: the pieces of each document. ``html`` itself goes no further."""
-    html = F.col("html")
-    lazy = F.when(F.contains(F.lower(html), F.lit("lazy")), F.regexp_count(html, F.lit(LAZY_IMAGE)))
-    return pages.select(
-        *keep,
-        *[build(html).alias(name) for name, build in _FROM_DOCUMENT.items()],
-        F.coalesce(lazy, F.lit(0)).alias("lazy_images"),
-        F.struct(
-            *[_contains_any(F.lower(html), words).alias(n) for n, words in FRAMEWORKS.items()]
-        ).alias("framework"),
-    )
+# Then, from the pieces. Each layer uses the one before.
+_PIECES = {
+    "h1s": f"transform(_h1s, h -> {strip_tags('h')})",
+    "_scripts": _script_structs("_script_texts"),
+    "_rels": f"transform(_link_texts, l -> {attribute('l', 'rel')})",
+}
+_SCRIPT_PIECES = {
+    "_script_text": "array_join(transform(_scripts, s -> concat(s.src, ' ', s.body)), '\\n')",
+    "_json_bodies": json_ld_bodies("_scripts"),
+    "third_party_scripts": f"size(filter(_scripts, s -> s.src RLIKE {EXTERNAL}))",
+}
+_FROM_PIECES = {
+    "description": strip_tags(meta_content("_metas", "description")),
+    "robots_meta": strip_tags(meta_content("_metas", "robots")),
+    "viewport": meta_content("_metas", "viewport"),
+    "lang": _html_attribute("lang"),
+    "dir": _html_attribute("dir"),
+    "script_count": "size(_script_texts)",
+    "link_count": "size(_link_texts)",
+    "stylesheet_count": f"size(filter(_rels, rel -> rel RLIKE {STYLESHEET}))",
+    "link_dir_rtl": f"exists(_link_texts, l -> l RLIKE {DIR_RTL})",
+    "has_gtm": f"_script_text RLIKE {GTM}",
+    "has_ga4": f"_script_text RLIKE {GA4}",
+    "has_data_layer": "contains(lower(_script_text), 'datalayer')",
+    "has_risky_script": _contains_any("lower(_script_text)", RISKY_CALLS),
+    "json_ld_count": "size(_blocks)",
+    "schema_types": jsonld.type_names("_blocks", "_json_bodies"),
+    "has_author_schema": jsonld.mentions_author("_blocks"),
+}
+_KEPT_PIECES = (
+    "title", "canonical", "h1s", "visible_text_length", "image_count", "lazy_images", "framework",
+    "third_party_scripts",
+)
 
 
-def derive(tagged: DataFrame, keep: list[str]) -> DataFrame:
-    """Second pass: facts from the pieces."""
-    pieces = tagged.withColumns(
-        {
-            "h1s": F.transform("_h1s", strip_tags),
-            "_scripts": _scripts(F.col("_script_texts")),
-            # Links only count by relation, attributes of all of them are looked at for ``dir``.
-            "_rels": F.transform("_link_texts", lambda attrs: attribute(attrs, "rel")),
-        }
-    )
-    script_text = F.array_join(
-        F.transform("_scripts", lambda s: F.concat(s["src"], F.lit(" "), s["body"])), "\n"
-    )
-    pieces = (
-        pieces.withColumns(
-            {
-                "_script_text": script_text,
-                "_json_bodies": json_ld_bodies(F.col("_scripts")),
-                "third_party_scripts": F.size(
-                    F.filter("_scripts", lambda s: s["src"].rlike(EXTERNAL))
-                ),
-            }
-        )
-        .withColumn("_blocks", jsonld.kept_blocks(F.col("_json_bodies")))
-    )
-    lowered = F.lower("_script_text")
-    return pieces.select(
-        *keep,
-        "title",
-        strip_tags(meta_content(F.col("_metas"), "description")).alias("description"),
-        strip_tags(meta_content(F.col("_metas"), "robots")).alias("robots_meta"),
-        "canonical",
-        meta_content(F.col("_metas"), "viewport").alias("viewport"),
-        _html_attribute(F.col("_html_tags"), "lang").alias("lang"),
-        _html_attribute(F.col("_html_tags"), "dir").alias("dir"),
-        "h1s",
-        "visible_text_length",
-        "image_count",
-        "lazy_images",
-        "framework",
-        F.size("_script_texts").alias("script_count"),
-        F.size("_link_texts").alias("link_count"),
-        F.size(F.filter("_rels", lambda rel: rel.rlike(STYLESHEET))).alias("stylesheet_count"),
-        F.exists("_link_texts", lambda attrs: attrs.rlike(r"(?i)dir=[\"']rtl[\"']")).alias("link_dir_rtl"),
-        "third_party_scripts",
-        F.col("_script_text").rlike(GTM).alias("has_gtm"),
-        F.col("_script_text").rlike(GA4).alias("has_ga4"),
-        F.contains(lowered, F.lit("datalayer")).alias("has_data_layer"),
-        _contains_any(lowered, RISKY_CALLS).alias("has_risky_script"),
-        F.size("_blocks").alias("json_ld_count"),
-        jsonld.type_names(F.col("_blocks"), F.col("_json_bodies")).alias("schema_types"),
-        jsonld.mentions_author(F.col("_blocks")).alias("has_author_schema"),
-    )
+def _aliased(columns: dict[str, str]) -> list[str]:
+    return [f"{sql} AS {name}" for name, sql in columns.items()]
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
@@ -199,70 +168,75 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
     A failed page (``error`` set) has no document to look at: its facts are those of an empty one.
     """
-    keep = ["page_id", "origin", "url", "template", "status", "error", "csp"]
     source = pages.withColumns(
         {
-            "html": F.when(F.col("error").isNull(), F.col("html")).otherwise(""),
-            "status": F.when(F.col("error").isNull(), F.col("status")).otherwise(0),
+            "html": F.expr("CASE WHEN error IS NULL THEN html ELSE '' END"),
+            "status": F.expr("CASE WHEN error IS NULL THEN status ELSE 0 END"),
         }
     )
-    return derive(with_tags(source, keep), keep)
+    return (
+        source.selectExpr(*PAGE_COLUMNS, *_aliased(_FROM_DOCUMENT))
+        .selectExpr("*", *_aliased(_PIECES))
+        .selectExpr("*", *_aliased(_SCRIPT_PIECES))
+        .selectExpr("*", f"{jsonld.kept_blocks('_json_bodies')} AS _blocks")
+        .selectExpr(*PAGE_COLUMNS, *_KEPT_PIECES, *_aliased(_FROM_PIECES))
+    )
 
 
 def rendered_facts(rendered: DataFrame) -> DataFrame:
     """The three facts the render comparison needs, from rendered documents."""
-    ok = rendered.withColumn("html", F.when(F.col("ok"), F.col("html")).otherwise(""))
-    pieces = ok.select(
-        "page_id",
-        "ok",
-        "skipped",
-        "render_error",
-        utf16_length(strip_document(F.col("html"))).alias("rendered_text_length"),
-        h1s(F.col("html")).alias("rendered_h1s"),
-        json_ld_bodies(scripts(F.col("html"))).alias("_json_bodies"),
+    state = ("page_id", "ok", "skipped", "render_error")
+    ok = rendered.withColumn("html", F.expr("CASE WHEN ok THEN html ELSE '' END"))
+    pieces = ok.selectExpr(
+        *state,
+        f"{utf16_length(strip_document('html'))} AS rendered_text_length",
+        f"regexp_extract_all(html, {H1}, 1) AS _h1s",
+        f"{script_texts('html')} AS _script_texts",
+    ).selectExpr(
+        *state,
+        "rendered_text_length",
+        f"{_PIECES['h1s']} AS rendered_h1s",
+        f"{json_ld_bodies(_script_structs('_script_texts'))} AS _json_bodies",
     )
-    return pieces.select(
-        "page_id",
-        "ok",
-        "skipped",
-        "render_error",
+    return pieces.selectExpr(
+        *state,
         "rendered_text_length",
         "rendered_h1s",
-        F.size(jsonld.kept_blocks(F.col("_json_bodies"))).alias("rendered_json_ld_count"),
+        f"size({jsonld.kept_blocks('_json_bodies')}) AS rendered_json_ld_count",
     )
 
 
 def resource_flags(resources: DataFrame) -> DataFrame:
     """Whether each origin has a robots file and a sitemap, judged by their bodies alone."""
-    return resources.select(
+    return resources.selectExpr(
         "origin",
-        ((F.col("robots_body") != "") & ~F.col("robots_body").rlike(ROBOTS_NOT_FOUND)).alias("has_robots_txt"),
-        F.col("sitemap_body").rlike(SITEMAP_BODY).alias("has_sitemap"),
+        f"robots_body <> '' AND NOT robots_body RLIKE {ROBOTS_NOT_FOUND} AS has_robots_txt",
+        f"sitemap_body RLIKE {SITEMAP_BODY} AS has_sitemap",
     )
 
 
 def h1_rows(pages: DataFrame) -> DataFrame:
     """Long form of the headings."""
-    return pages.select("page_id", F.posexplode(h1s(F.col("html"))).alias("pos", "h1"))
+    return pages.selectExpr("page_id", f"posexplode({h1s('html')}) AS (pos, h1)")
 
 
 def script_rows(pages: DataFrame) -> DataFrame:
     """Long form of the scripts."""
-    return pages.select("page_id", F.posexplode(scripts(F.col("html"))).alias("pos", "s")).select(
-        "page_id", "pos", "s.attrs", "s.src", "s.body"
+    return pages.selectExpr("page_id", f"posexplode({scripts('html')}) AS (pos, s)").select(
+        "page_id", "pos", "s.*"
     )
 
 
 def link_rows(pages: DataFrame) -> DataFrame:
     """Long form of the links."""
-    return pages.select("page_id", F.posexplode(links(F.col("html"))).alias("pos", "l")).select(
-        "page_id", "pos", "l.attrs", "l.rel", "l.href", "l.hreflang"
+    return pages.selectExpr("page_id", f"posexplode({links('html')}) AS (pos, l)").select(
+        "page_id", "pos", "l.*"
     )
 
 
 def json_ld_rows(pages: DataFrame) -> DataFrame:
     """Long form of the kept JSON-LD blocks, as compact JSON text."""
-    blocks = jsonld.kept_blocks(json_ld_bodies(scripts(F.col("html"))))
-    return pages.select("page_id", F.posexplode(blocks).alias("pos", "block")).select(
-        "page_id", "pos", F.to_json("block").alias("block")
+    blocks = jsonld.kept_blocks(json_ld_bodies(scripts("html")))
+    return pages.selectExpr("page_id", f"posexplode({blocks}) AS (pos, block)").selectExpr(
+        "page_id", "pos", "to_json(block) AS block"
     )

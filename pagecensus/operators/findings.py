@@ -4,23 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagecensus.functions.text import bind
 from pagecensus.operators.rules import FAILURE_RULE, RULES, Rule, by_priority, guidance
 
 
-def _finding(priority: int, rule: Rule) -> Column:
+def _finding(priority: int, rule: Rule) -> str:
     """Numbers and the error text only. The wording is added where it is shown."""
-    measure = rule.measure().cast("bigint") if rule.measure else F.lit(None).cast("bigint")
-    detail = F.col("error") if rule.rule_id == FAILURE_RULE else F.lit("")
-    return F.struct(
-        F.lit(priority).alias("priority"),
-        (measure if rule.titled_by_measure else F.lit(0).cast("bigint")).alias("title_n"),
-        measure.alias("measure"),
-        detail.alias("detail"),
-    )
+    measure = f"CAST({rule.measure or 'NULL'} AS BIGINT)"
+    title_n = measure if rule.titled_by_measure else "0L"
+    detail = "error" if rule.rule_id == FAILURE_RULE else "''"
+    return f"named_struct('priority', {priority}, 'title_n', {title_n}, 'measure', {measure}, 'detail', {detail})"
 
 
 def with_findings(audits: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -30,56 +26,50 @@ def with_findings(audits: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame
     exactly one finding.
     """
     ordered = list(enumerate(by_priority(rules), start=1))
-    checks = [F.when(r.when(), _finding(p, r)) for p, r in ordered if r.rule_id != FAILURE_RULE]
-    found = F.array_compact(F.array(*checks))
-    failures = [F.array(_finding(p, r)) for p, r in ordered if r.rule_id == FAILURE_RULE]
-    if failures:
-        found = F.when(F.col("error").isNotNull(), failures[0]).otherwise(found)
-    return audits.withColumn("findings", found)
+    checks = [
+        f"CASE WHEN {r.when} THEN {_finding(p, r)} END" for p, r in ordered if r.rule_id != FAILURE_RULE
+    ]
+    found = f"array_compact(array({', '.join(checks)}))"
+    for p, r in ordered:
+        if r.rule_id == FAILURE_RULE:
+            found = f"CASE WHEN error IS NOT NULL THEN array({_finding(p, r)}) ELSE {found} END"
+    return audits.withColumn("findings", F.expr(found))
 
 
 def finding_rows(audited: DataFrame, page_pos: str = "page_id") -> DataFrame:
     """One narrow row per page and finding, with its rank on the page."""
-    return audited.select(
+    return audited.selectExpr(
         "page_id",
-        F.col(page_pos).alias("page_pos"),
+        f"{page_pos} AS page_pos",
         "origin",
         "url",
         "template",
-        F.posexplode("findings").alias("pos", "finding"),
-    ).select(
-        "page_id", "page_pos", "origin", "url", "template", (F.col("pos") + 1).alias("rank"), "finding.*"
+        "posexplode(findings) AS (pos, finding)",
+    ).selectExpr(
+        "page_id", "page_pos", "origin", "url", "template", "pos + 1 AS rank", "finding.*"
     )
 
 
-def fill(text: Column, n: Column) -> Column:
-    return F.replace(text, F.lit("{n}"), F.coalesce(n.cast("string"), F.lit("")))
+def fill(text: str, n: str) -> str:
+    return f"replace({text}, '{{n}}', coalesce(CAST({n} AS STRING), ''))"
 
 
-def describe(finding: Column, rules: Sequence[Rule] = RULES) -> Column:
+def describe(
+    priority: str, title_n: str, measure: str, detail: str, rules: Sequence[Rule] = RULES
+) -> str:
     """A finding in words: a struct with all the catalogue says about it."""
-    def words(g: Column) -> Column:
-        return F.struct(
-            g["rule_id"].alias("rule_id"),
-            g["area"].alias("area"),
-            g["severity"].alias("severity"),
-            g["effort"].alias("effort"),
-            fill(g["title_text"], finding["title_n"]).alias("title"),
-            F.when(finding["detail"] != "", finding["detail"])
-            .otherwise(fill(g["evidence_text"], finding["measure"]))
-            .alias("evidence"),
-            g["fix"].alias("fix"),
-            g["validation"].alias("validation"),
-            g["tools"].alias("tools"),
-        )
-
-    return bind(guidance(finding["priority"], rules), words)
+    words = f"""named_struct(
+      'rule_id', g.rule_id, 'area', g.area, 'severity', g.severity, 'effort', g.effort,
+      'title', {fill('g.title_text', title_n)},
+      'evidence', CASE WHEN {detail} <> '' THEN {detail} ELSE {fill('g.evidence_text', measure)} END,
+      'fix', g.fix, 'validation', g.validation, 'tools', g.tools)"""
+    return bind(guidance(priority, rules), "g", words)
 
 
 def described_rows(rows: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Finding rows in words, for output."""
-    finding = F.struct("priority", "title_n", "measure", "detail")
-    return rows.withColumn("w", describe(finding, rules)).select(
+    words = describe("priority", "title_n", "measure", "detail", rules)
+    return rows.withColumn("w", F.expr(words)).select(
         "page_id", "origin", "url", "rank",
         "w.rule_id", "w.area", "w.severity", "w.effort", "w.title", "w.evidence",
     )

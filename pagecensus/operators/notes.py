@@ -2,40 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagecensus.functions.text import quoted
+
 SKIPPED = "The rendered page was not looked at in this run."
 PAGE_NOTE = "On a page: "
 
+# The note of an audit row, null when nothing was missed.
+PAGE_NOTE_SQL = f"""CASE
+  WHEN error IS NOT NULL THEN concat('Audit of the page failed: ', error)
+  WHEN render_skipped THEN {quoted(SKIPPED)}
+  WHEN NOT render_ok THEN concat('The rendered page was not available: ', coalesce(render_error, 'unknown error')) END"""
 
-def page_note() -> Column:
-    """The note of an audit row, null when nothing was missed."""
-    return (
-        F.when(F.col("error").isNotNull(), F.concat(F.lit("Audit of the page failed: "), F.col("error")))
-        .when(F.col("render_skipped"), F.lit(SKIPPED))
-        .when(
-            ~F.col("render_ok"),
-            F.concat(
-                F.lit("The rendered page was not available: "),
-                F.coalesce(F.col("render_error"), F.lit("unknown error")),
-            ),
-        )
-    )
-
-
-def run_note() -> Column:
-    """The site-level note about a page that failed, null otherwise."""
-    return F.when(
-        F.col("error").isNotNull(),
-        F.concat(F.lit("Could not audit "), F.col("url"), F.lit(": "), F.col("error")),
-    )
+# The site's own note about a page that failed, null otherwise.
+_RUN_NOTE_SQL = "CASE WHEN error IS NOT NULL THEN concat('Could not audit ', url, ': ', error) END"
 
 
 def page_notes(audits: DataFrame) -> DataFrame:
     """One row per page with a note. A projection and a filter, nothing moves."""
-    return audits.select("page_id", "origin", "url", page_note().alias("note")).where(
-        F.col("note").isNotNull()
+    return audits.selectExpr("page_id", "origin", "url", f"{PAGE_NOTE_SQL} AS note").where(
+        "note IS NOT NULL"
     )
 
 
@@ -44,13 +32,13 @@ def site_notes(pages: DataFrame) -> DataFrame:
 
     ``note_kind`` and ``first_pos`` give the order of first appearance.
     """
-    both = F.array(
-        F.struct(F.lit(0).alias("note_kind"), run_note().alias("note")),
-        F.struct(F.lit(1).alias("note_kind"), F.concat(F.lit(PAGE_NOTE), page_note()).alias("note")),
+    both = (
+        f"inline(array(named_struct('note_kind', 0, 'note', {_RUN_NOTE_SQL}), "
+        f"named_struct('note_kind', 1, 'note', concat({quoted(PAGE_NOTE)}, {PAGE_NOTE_SQL}))))"
     )
     return (
-        pages.select("origin", "page_pos", F.inline(both))
-        .where(F.col("note").isNotNull())
+        pages.selectExpr("origin", "page_pos", both)
+        .where("note IS NOT NULL")
         .groupBy("origin", "note_kind", "note")
         .agg(F.min("page_pos").alias("first_pos"))
     )

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagecensus.functions.text import bind, url_count
+from pagecensus.functions.text import bind, quoted, url_count
 from pagecensus.operators.findings import describe, fill
 from pagecensus.operators.rules import NO_EVIDENCE, RULES, Rule, guidance
 
@@ -57,33 +57,25 @@ def patterns(templates: DataFrame, list_templates: bool = False) -> DataFrame:
     return templates.groupBy(*PATTERN_KEY).agg(*aggregates)
 
 
-def pattern_evidence(finding: Column, affected: Column) -> Column:
-    """First evidence that says something, and how many pages share the finding."""
-    shown = F.when(finding["evidence"] != "", finding["evidence"]).otherwise(NO_EVIDENCE)
-    return F.concat(shown, F.lit(" Found on "), url_count(affected), F.lit("."))
+# First evidence that says something, and how many pages share the finding.
+_EVIDENCE = (
+    f"concat(CASE WHEN w.evidence <> '' THEN w.evidence ELSE {quoted(NO_EVIDENCE)} END, "
+    f"' Found on ', {url_count('affected')}, '.')"
+)
 
 
-def _words(rules: Sequence[Rule]) -> Column:
-    finding = F.struct(
-        "priority", "title_n", "measure", F.coalesce(F.col("detail"), F.lit("")).alias("detail")
-    )
-    return bind(finding, lambda f: describe(f, rules))
-
-
-def described_patterns(table: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Patterns in words, with the columns their rank depends on."""
-    described = table.withColumn("w", _words(rules))
-    return described.withColumns(
-        {
-            "severity_rank": guidance(F.col("priority"), rules)["severity_rank"],
-            "effort_rank": guidance(F.col("priority"), rules)["effort_rank"],
-            "evidence": pattern_evidence(F.col("w"), F.col("affected")),
-        }
+def _described(table: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Patterns in words, with the ranks they are sorted by."""
+    words = describe("priority", "title_n", "measure", "coalesce(detail, '')", rules)
+    ranks = bind(
+        guidance("priority", rules), "g",
+        "named_struct('severity_rank', g.severity_rank, 'effort_rank', g.effort_rank)",
     )
+    return table.selectExpr("*", f"{words} AS w", f"{ranks} AS r").selectExpr("*", f"{_EVIDENCE} AS evidence")
 
 
 def site_patterns(table: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    return described_patterns(table, rules).select(
+    return _described(table, rules).select(
         "origin", "w.rule_id", "w.area", "w.severity", "w.effort", "w.title", "evidence",
         "affected", "template_count", "first_pos",
     )
@@ -95,47 +87,35 @@ def site_issues(table: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     An origin has at most one pattern per rule, and per HTTP status for the rule titled by it, so
     the array stays small however many pages there are.
     """
-    described = described_patterns(table, rules)
-    columns = described.columns
-    texts = F.col("templates") if "templates" in columns else F.lit("")
-    entry = F.struct(
-        "severity_rank",
-        (-F.col("affected")).alias("fewer"),
-        "effort_rank",
-        F.col("w.area").alias("by_area"),
-        "first_pos",
-        "priority",
-        F.struct(
-            "w.rule_id", "w.area", "w.severity", "w.effort", "w.title", "evidence", "w.fix",
-            "w.validation", "w.tools", F.col("affected").cast("bigint").alias("affected"),
-            texts.alias("templates"), "template_count", "title_n", "priority",
-        ).alias("issue"),
-    )
-    ranked = described.groupBy("origin").agg(F.array_sort(F.collect_list(entry)).alias("sorted"))
-    return ranked.select(
-        "origin", F.transform("sorted", lambda entry: entry["issue"]).alias("issues")
+    templates = "templates" if "templates" in table.columns else "''"
+    entry = f"""named_struct(
+      'severity_rank', r.severity_rank, 'fewer', -affected, 'effort_rank', r.effort_rank, 'by_area', w.area,
+      'first_pos', first_pos, 'priority', priority, 'issue', named_struct(
+        'rule_id', w.rule_id, 'area', w.area, 'severity', w.severity, 'effort', w.effort, 'title', w.title,
+        'evidence', evidence, 'fix', w.fix, 'validation', w.validation, 'tools', w.tools,
+        'affected', affected, 'templates', {templates}, 'template_count', template_count,
+        'title_n', title_n, 'priority', priority))"""
+    return (
+        _described(table, rules)
+        .groupBy("origin")
+        .agg(F.expr(f"array_sort(collect_list({entry})) AS sorted"))
+        .selectExpr("origin", "transform(sorted, e -> e.issue) AS issues")
     )
 
 
 def site_patterns_ranked(issues: DataFrame) -> DataFrame:
     """Ranked patterns, one row each."""
-    return issues.select("origin", F.posexplode("issues").alias("pos", "i")).select(
-        "origin", (F.col("pos") + 1).alias("rank"),
-        "i.rule_id", "i.area", "i.severity", "i.effort", "i.title", "i.evidence",
-        "i.affected", "i.template_count",
-    )
-
-
-def pattern_titles(rows: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Finding rows with the rule and title of their pattern."""
-    return rows.withColumn("g", guidance(F.col("priority"), rules)).withColumns(
-        {"rule_id": F.col("g.rule_id"), "title": fill(F.col("g.title_text"), F.col("title_n"))}
+    return issues.selectExpr("origin", "posexplode(issues) AS (pos, i)").selectExpr(
+        "origin", "pos + 1 AS rank", "i.rule_id", "i.area", "i.severity", "i.effort", "i.title",
+        "i.evidence", "i.affected", "i.template_count",
     )
 
 
 def pattern_urls(rows: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """All pages of every pattern. A projection: the order within a pattern is ``page_pos``."""
-    return pattern_titles(rows, rules).select("origin", "rule_id", "title", "page_pos", "url")
+    return rows.selectExpr("*", f"{guidance('priority', rules)} AS g").selectExpr(
+        "origin", "g.rule_id", f"{fill('g.title_text', 'title_n')} AS title", "page_pos", "url"
+    )
 
 
 def first_urls(rows: DataFrame, k: int) -> DataFrame:

@@ -60,7 +60,7 @@ def audit_pages(
     for name, result in results.items():
         write_table(result, out, name, run_date)
     if markdown:
-        documents = report.page_markdown(with_issues, F.lit(run_ts).cast("timestamp"))
+        documents = report.page_markdown(with_issues, run_ts)
         write_page_markdown(documents, f"{out}/page_markdown/run_date={run_date}")
     return _stage(spark, report.run_summary(audited), out, "run_summary", run_date)
 
@@ -119,7 +119,7 @@ def audit_sites(
     for name, result in results.items():
         write_table(result, out, name, run_date)
     documents = report.site_markdown(
-        rows, examples, pages, site_report.notes(), F.lit(run_ts).cast("timestamp")
+        rows, examples, pages, site_report.notes(), run_ts
     )
     write_site_markdown(documents, f"{out}/site_markdown/run_date={run_date}")
     return _stage(spark, report.run_summary(pages), out, "run_summary", run_date)

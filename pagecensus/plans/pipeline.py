@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pagecensus.operators import audit, discovery, facts, findings, notes, patterns, report
 from pagecensus.operators.rules import RULES, Rule
@@ -95,5 +94,5 @@ class SiteReport:
 
     def markdown(self, run_ts: str) -> DataFrame:
         return report.site_markdown(
-            self.rows(), self.examples(), self.pages, self.notes(), F.lit(run_ts).cast("timestamp")
+            self.rows(), self.examples(), self.pages, self.notes(), run_ts
         )

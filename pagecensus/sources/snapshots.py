@@ -6,8 +6,7 @@ shape: no null text, lower-case header names, an origin per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pagecensus.functions.urls import parse_or_assume_https, parse_url, template_of
 
@@ -26,60 +25,55 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
-
-
 def crawl_pages(df: DataFrame) -> DataFrame:
     """Page snapshots with normalised address, origin and path template.
 
     ``csp`` is the one response header the rules read, empty when absent. A text that is no URL
     keeps its spelling and belongs to the origin ``null``.
     """
-    if "csp" in df.columns:
-        csp = _or_empty("csp")
-    else:
-        lowered = F.transform_keys("headers", lambda key, _: F.lower(key))
-        csp = F.coalesce(F.try_element_at(lowered, F.lit("content-security-policy")), F.lit("")).alias("csp")
-    parsed = df.withColumn("parsed", parse_or_assume_https(F.col("url")))
-    return parsed.select(
+    csp = "csp"
+    if "csp" not in df.columns:
+        csp = "try_element_at(transform_keys(headers, (k, v) -> lower(k)), 'content-security-policy')"
+    template = template_of("coalesce(parsed.path, '')")
+    return df.selectExpr("*", f"{parse_or_assume_https('url')} AS parsed").selectExpr(
         "page_id",
-        F.coalesce(F.col("parsed.origin"), F.lit("null")).alias("origin"),
-        F.coalesce(F.col("parsed.url"), F.col("url")).alias("url"),
-        template_of(F.coalesce(F.col("parsed.path"), F.lit(""))).alias("template"),
-        F.coalesce(F.col("status"), F.lit(0)).cast("int").alias("status"),
+        "coalesce(parsed.origin, 'null') AS origin",
+        "coalesce(parsed.url, url) AS url",
+        f"{template} AS template",
+        "CAST(coalesce(status, 0) AS INT) AS status",
         "error",
-        csp,
-        _or_empty("html"),
+        f"coalesce({csp}, '') AS csp",
+        "coalesce(html, '') AS html",
     )
 
 
 def site_resources(df: DataFrame) -> DataFrame:
     """One row per origin; a body that could not be fetched is empty."""
-    return df.select(
+    return df.selectExpr(
         "origin",
-        _or_empty("robots_body"),
-        F.coalesce(F.col("sitemap_status"), F.lit(0)).cast("int").alias("sitemap_status"),
-        _or_empty("sitemap_body"),
+        "coalesce(robots_body, '') AS robots_body",
+        "CAST(coalesce(sitemap_status, 0) AS INT) AS sitemap_status",
+        "coalesce(sitemap_body, '') AS sitemap_body",
     )
 
 
 def sitemap_files(df: DataFrame) -> DataFrame:
     """Child sitemaps, one row per URL."""
-    return df.select(
-        F.coalesce(parse_url(F.col("url"))["url"], F.col("url")).alias("url"),
-        F.coalesce(F.col("status"), F.lit(0)).cast("int").alias("status"),
-        _or_empty("body"),
+    return df.selectExpr(
+        f"coalesce({parse_url('url')}.url, url) AS url",
+        "CAST(coalesce(status, 0) AS INT) AS status",
+        "coalesce(body, '') AS body",
     )
 
 
 def rendered_pages(df: DataFrame) -> DataFrame:
-    return df.select(
+    """Rendered snapshots, one row per page."""
+    return df.selectExpr(
         "page_id",
-        F.coalesce(F.col("ok"), F.lit(False)).alias("ok"),
-        F.coalesce(F.col("skipped"), F.lit(False)).alias("skipped"),
-        F.col("error").alias("render_error"),
-        _or_empty("html"),
+        "coalesce(ok, false) AS ok",
+        "coalesce(skipped, false) AS skipped",
+        "error AS render_error",
+        "coalesce(html, '') AS html",
     )
 
 
@@ -88,12 +82,9 @@ def seeds(df: DataFrame) -> DataFrame:
 
     Rows whose start URL is no URL, even with ``https://`` in front, are dropped: there is no site.
     """
-    parsed = df.select(parse_or_assume_https(F.col("start_url")).alias("p"), "max_pages")
-    return parsed.where(F.col("p").isNotNull()).select(
-        F.col("p.origin").alias("origin"),
-        F.col("p.url").alias("start_url"),
-        F.when(F.col("max_pages") > 0, F.col("max_pages"))
-        .otherwise(DEFAULT_MAX_PAGES)
-        .cast("int")
-        .alias("max_pages"),
+    parsed = df.selectExpr(f"{parse_or_assume_https('start_url')} AS p", "max_pages")
+    return parsed.where("p IS NOT NULL").selectExpr(
+        "p.origin AS origin",
+        "p.url AS start_url",
+        f"CAST(CASE WHEN max_pages > 0 THEN max_pages ELSE {DEFAULT_MAX_PAGES} END AS INT) AS max_pages",
     )
