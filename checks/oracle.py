@@ -50,7 +50,7 @@ CANONICAL = r"""(?i)\brel=["''][^"'']*canonical[^"'']*["'']"""
 
 
 def meta(name: str) -> str:
-    by = [first_of("metas", rf'(?i)\b{key}=["'']{name}["'']') for key in ("name", "property")]
+    by = [first_of("metas", rf"""(?i)\b{key}=["'']{name}["'']""") for key in ("name", "property")]
     return attr(f"coalesce({by[0]}, {by[1]}, '')", "content")
 
 
