@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagecensus.functions.rows import rows_of
 from pagecensus.functions.text import WORD_END, WS, decode_entities, pattern, quoted, trim_space
 from pagecensus.functions.urls import parse_url, template_of
 
@@ -37,9 +38,7 @@ def own_urls(listed: str) -> str:
 
 def sitemap_urls(resources: DataFrame) -> DataFrame:
     """Entries of each origin's own sitemap body, in order."""
-    return resources.selectExpr(
-        "origin", f"posexplode({own_urls(entries('sitemap_body'))}) AS (pos, url)"
-    )
+    return rows_of(resources, ["origin"], own_urls(entries("sitemap_body")), "url")
 
 
 def _child_lists(resources: DataFrame, files: DataFrame) -> DataFrame:
@@ -48,16 +47,15 @@ def _child_lists(resources: DataFrame, files: DataFrame) -> DataFrame:
     Only the first children of the same origin are read, and only one level deep.
     """
     first = f"slice({own_urls(entries('sitemap_body'))}, 1, {MAX_CHILD_SITEMAPS})"
-    children = resources.where(f"sitemap_body RLIKE {SITEMAP_INDEX}").selectExpr(
-        "origin", f"posexplode({first}) AS (child, url)"
-    )
+    indexes = resources.where(f"sitemap_body RLIKE {SITEMAP_INDEX}")
+    children = rows_of(indexes, ["origin"], first, "url", "child")
     readable = files.where("status BETWEEN 200 AND 299").selectExpr("url", f"{entries('body')} AS listed")
     return children.join(readable, "url").selectExpr("origin", "child", f"{own_urls('listed')} AS urls")
 
 
 def sitemap_index_urls(resources: DataFrame, files: DataFrame) -> DataFrame:
     """Pages listed by the children of sitemap indexes."""
-    return _child_lists(resources, files).selectExpr("origin", "child", "posexplode(urls) AS (pos, url)")
+    return rows_of(_child_lists(resources, files), ["origin", "child"], "urls", "url")
 
 
 def discover(seeds: DataFrame, resources: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -105,7 +103,7 @@ def discover(seeds: DataFrame, resources: DataFrame, files: DataFrame | None = N
 def discovered_urls(sites: DataFrame) -> DataFrame:
     """The pages to audit, numbered from 1 in discovery order."""
     path = f"coalesce({parse_url('url')}.path, '')"
-    return sites.selectExpr("origin", "posexplode(urls) AS (pos, url)").selectExpr(
+    return rows_of(sites, ["origin"], "urls", "url").selectExpr(
         "origin", "pos + 1 AS page_pos", "url", f"{template_of(path)} AS template"
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagecensus.functions import jsonld
+from pagecensus.functions.rows import rows_of
 from pagecensus.functions.text import (
     NO_QUOTE,
     QUOTE,
@@ -217,26 +218,22 @@ def resource_flags(resources: DataFrame) -> DataFrame:
 
 def h1_rows(pages: DataFrame) -> DataFrame:
     """Long form of the headings."""
-    return pages.selectExpr("page_id", f"posexplode({h1s('html')}) AS (pos, h1)")
+    return rows_of(pages, ["page_id"], h1s("html"), "h1")
 
 
 def script_rows(pages: DataFrame) -> DataFrame:
     """Long form of the scripts."""
-    return pages.selectExpr("page_id", f"posexplode({scripts('html')}) AS (pos, s)").select(
-        "page_id", "pos", "s.*"
-    )
+    return rows_of(pages, ["page_id"], scripts("html"), "s").select("page_id", "pos", "s.*")
 
 
 def link_rows(pages: DataFrame) -> DataFrame:
     """Long form of the links."""
-    return pages.selectExpr("page_id", f"posexplode({links('html')}) AS (pos, l)").select(
-        "page_id", "pos", "l.*"
-    )
+    return rows_of(pages, ["page_id"], links("html"), "l").select("page_id", "pos", "l.*")
 
 
 def json_ld_rows(pages: DataFrame) -> DataFrame:
     """Long form of the kept JSON-LD blocks, as compact JSON text."""
     blocks = jsonld.kept_blocks(json_ld_bodies(scripts("html")))
-    return pages.selectExpr("page_id", f"posexplode({blocks}) AS (pos, block)").selectExpr(
+    return rows_of(pages, ["page_id"], blocks, "block").selectExpr(
         "page_id", "pos", "to_json(block) AS block"
     )

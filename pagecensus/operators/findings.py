@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagecensus.functions.rows import rows_of
 from pagecensus.functions.text import bind
 from pagecensus.operators.rules import FAILURE_RULE, RULES, Rule, by_priority, guidance
 
@@ -38,14 +39,8 @@ def with_findings(audits: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame
 
 def finding_rows(audited: DataFrame, page_pos: str = "page_id") -> DataFrame:
     """One narrow row per page and finding, with its rank on the page."""
-    return audited.selectExpr(
-        "page_id",
-        f"{page_pos} AS page_pos",
-        "origin",
-        "url",
-        "template",
-        "posexplode(findings) AS (pos, finding)",
-    ).selectExpr(
+    keep = ["page_id", f"{page_pos} AS page_pos", "origin", "url", "template"]
+    return rows_of(audited, keep, "findings", "finding").selectExpr(
         "page_id", "page_pos", "origin", "url", "template", "pos + 1 AS rank", "finding.*"
     )
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagecensus.functions.rows import rows_of
 from pagecensus.functions.text import bind, quoted, url_count
 from pagecensus.operators.findings import describe, fill
 from pagecensus.operators.rules import NO_EVIDENCE, RULES, Rule, guidance
@@ -105,7 +106,7 @@ def site_issues(table: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 def site_patterns_ranked(issues: DataFrame) -> DataFrame:
     """Ranked patterns, one row each."""
-    return issues.selectExpr("origin", "posexplode(issues) AS (pos, i)").selectExpr(
+    return rows_of(issues, ["origin"], "issues", "i").selectExpr(
         "origin", "pos + 1 AS rank", "i.rule_id", "i.area", "i.severity", "i.effort", "i.title",
         "i.evidence", "i.affected", "i.template_count",
     )

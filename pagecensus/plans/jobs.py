@@ -105,9 +105,7 @@ def audit_sites(
 
     site_report = SiteReport(sites, pages, rules)
     issues = _stage(spark, site_report.issues(), out, "site_issues", run_date)
-    rows = report.site_rows(sites, issues)
-    first = patterns.first_urls(site_report.finding_rows(), report.EXAMPLE_URLS)
-    examples = report.affected_examples(issues, first)
+    rows = site_report.rows(issues)
     results = {
         "discovery": discovery_summary(sites),
         "site_patterns_ranked": patterns.site_patterns_ranked(issues),
@@ -118,8 +116,6 @@ def audit_sites(
     }
     for name, result in results.items():
         write_table(result, out, name, run_date)
-    documents = report.site_markdown(
-        rows, examples, pages, site_report.notes(), run_ts
-    )
+    documents = site_report.markdown(run_ts, issues)
     write_site_markdown(documents, f"{out}/site_markdown/run_date={run_date}")
     return _stage(spark, report.run_summary(pages), out, "run_summary", run_date)

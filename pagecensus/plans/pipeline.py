@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from pagecensus.operators import audit, discovery, facts, findings, notes, patterns, report
 from pagecensus.operators.rules import RULES, Rule
+from pagecensus.session import stage
 from pagecensus.sources import snapshots
 
 
@@ -46,8 +47,7 @@ def discovered_sites(
 class SiteAudit:
     """Everything about the sites of a run, derived from two tables.
 
-    ``sites`` has one row per site, ``audits`` one audit row per snapshot. Materialise both before
-    deriving several tables from them (``plans.jobs`` does).
+    ``sites`` has one row per site, ``audits`` one audit row per snapshot.
     """
 
     sites: DataFrame
@@ -59,11 +59,16 @@ class SiteAudit:
         rows = discovery.site_pages(discovery.discovered_urls(self.sites), self.audits.drop("findings"))
         return findings.with_findings(rows, self.rules)
 
-    def over(self, pages: DataFrame) -> SiteReport:
-        return SiteReport(self.sites, pages, self.rules)
+    def report(self, staged: bool = False) -> SiteReport:
+        """Report tables over the pages; ``staged`` writes sites and pages to the shared folder first.
 
-    def report(self) -> SiteReport:
-        return self.over(self.pages())
+        Stage them when several tables, or a document made of several, are asked for.
+        """
+        if staged:
+            sites = stage(self.sites, "sites")
+            pages = SiteAudit(sites, self.audits, self.rules).pages()
+            return SiteReport(sites, stage(pages, "site_pages"), self.rules)
+        return SiteReport(self.sites, self.pages(), self.rules)
 
 
 @dataclass(frozen=True)
@@ -82,17 +87,19 @@ class SiteReport:
         per_template = patterns.pattern_templates(self.finding_rows())
         return patterns.site_issues(patterns.patterns(per_template, list_templates=True), self.rules)
 
-    def rows(self) -> DataFrame:
-        return report.site_rows(self.sites, self.issues())
+    def rows(self, issues: DataFrame | None = None) -> DataFrame:
+        return report.site_rows(self.sites, self.issues() if issues is None else issues)
 
-    def examples(self) -> DataFrame:
+    def examples(self, issues: DataFrame | None = None) -> DataFrame:
         first = patterns.first_urls(self.finding_rows(), report.EXAMPLE_URLS)
-        return report.affected_examples(self.issues(), first)
+        return report.affected_examples(self.issues() if issues is None else issues, first)
 
     def notes(self) -> DataFrame:
         return notes.site_notes(self.pages)
 
-    def markdown(self, run_ts: str) -> DataFrame:
+    def markdown(self, run_ts: str, issues: DataFrame | None = None) -> DataFrame:
+        """The site documents in parts. Pass the staged ``issues``: two sections read them."""
+        issues = stage(self.issues(), "site_issues") if issues is None else issues
         return report.site_markdown(
-            self.rows(), self.examples(), self.pages, self.notes(), run_ts
+            self.rows(issues), self.examples(issues), self.pages, self.notes(), run_ts
         )

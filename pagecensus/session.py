@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -30,6 +31,18 @@ def shared_folder(spark: SparkSession) -> str:
     return fresh
 
 
+def stage(table: DataFrame, name: str) -> DataFrame:
+    """Write ``table`` to the shared folder and read it back.
+
+    For results several tables derive from: they read the files instead of computing it again, and
+    a lost executor costs a re-read.
+    """
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     spark = (
