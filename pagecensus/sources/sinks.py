@@ -17,7 +17,7 @@ def write_site_markdown(parts: DataFrame, folder: str) -> None:
     The parts of a site meet in one task, which streams them sorted and holds none back.
     """
     site = F.regexp_replace("origin", r"[^A-Za-z0-9.\-]+", "_").alias("site")
-    lines = parts.select(site, "origin", "part", F.regexp_replace("markdown", r"\n$", "").alias("value"))
+    lines = parts.select(site, "origin", "part", F.regexp_replace("markdown", r"\n\z", "").alias("value"))
     (
         lines.repartition("origin")
         .sortWithinPartitions("site", "origin", "part")
