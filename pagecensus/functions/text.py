@@ -24,8 +24,12 @@ WORD_END = r"(?![A-Za-z0-9_])"
 QUOTE = r"[\x22\x27]"
 NO_QUOTE = r"[^\x22\x27]"
 
-# A run of tags and white space. Possessive, so that long runs neither backtrack nor recurse.
-_TAGS_AND_SPACE = rf"(?:<[^>]++>|{WS}++)++"
+# Characters that start neither a tag nor white space.
+_ORDINARY = r"!-;=-~\u00A1-\u167F"
+# A run of tags and white space. It starts with a quick look that passes over ordinary characters and
+# over single spaces between them, which would only be replaced by themselves. Possessive, so that
+# long runs neither backtrack nor recurse.
+_TAGS_AND_SPACE = rf"(?![{_ORDINARY}]| [{_ORDINARY}])(?:<[^>]++>|{WS}++)++"
 
 _TRIMMED = "".join(f"\\u{ord(char):04x}" for char in WHITESPACE_CHARS)
 

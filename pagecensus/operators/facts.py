@@ -36,6 +36,10 @@ CANONICAL = pattern(
     rf"(?i)<link{WORD_END}(?=[^>]*{WORD_START}rel={QUOTE}{NO_QUOTE}*canonical{NO_QUOTE}*{QUOTE})([^>]+)>"
 )
 HTML_TAG = pattern(r"(?i)<html([^>]+)")
+# The tags whose facts lie between ``<`` and ``>``. Their texts put together answer like the document.
+SHORT_TAG = pattern(rf"(?i)<(?:(?:meta|link|img){WORD_END}|html)[^>]*>?")
+# A relation with an open quote: then the search for a canonical link goes on behind the tag.
+OPEN_REL = pattern(rf"(?i){WORD_START}rel={QUOTE}[^\x22\x27>]*>")
 IMAGE = pattern(rf"(?i)<img{WORD_END}")
 LAZY_IMAGE = pattern(rf"(?i)<img{WORD_END}[^>]*loading={QUOTE}lazy{QUOTE}")
 JSON_LD_TYPE = pattern(rf"(?i)type={QUOTE}application/ld\+json{QUOTE}")
@@ -111,20 +115,34 @@ def _html_attribute(name: str) -> str:
 # compiles together with the scan.
 _FROM_DOCUMENT = {
     "title": strip_tags(f"regexp_extract(html, {TITLE}, 1)"),
-    "canonical": attribute(f"regexp_extract(html, {CANONICAL}, 1)", "href"),
     "visible_text_length": utf16_length(strip_document("html")),
-    "image_count": f"regexp_count(html, {IMAGE})",
-    "lazy_images": f"CASE WHEN contains(lower(html), 'lazy') THEN regexp_count(html, {LAZY_IMAGE}) ELSE 0 END",
     "framework": "named_struct("
     + ", ".join(f"'{name}', {_contains_any('lower(html)', words)}" for name, words in FRAMEWORKS.items())
     + ")",
     "_h1s": f"regexp_extract_all(html, {H1}, 1)",
-    "_html_tags": f"regexp_extract_all(html, {HTML_TAG}, 1)",
-    "_metas": f"regexp_extract_all(html, {META}, 1)",
     "_script_texts": script_texts("html"),
-    "_link_texts": f"regexp_extract_all(html, {LINK}, 1)",
+    "_tags": f"array_join(regexp_extract_all(html, {SHORT_TAG}, 0), '')",
 }
 
+_CANONICAL_TAG = f"regexp_extract({{}}, {CANONICAL}, 1)"
+
+
+def _from_tags(html: str) -> dict[str, str]:
+    """Facts from the short tags. ``html`` is only looked at for a link with an open quote."""
+    canonical = (
+        f"CASE WHEN _tags RLIKE {OPEN_REL} THEN {_CANONICAL_TAG.format(html)} "
+        f"ELSE {_CANONICAL_TAG.format('_tags')} END"
+    )
+    return {
+        "canonical": attribute(canonical, "href"),
+        "image_count": f"regexp_count(_tags, {IMAGE})",
+        "lazy_images": f"regexp_count(_tags, {LAZY_IMAGE})",
+        "_html_tags": f"regexp_extract_all(_tags, {HTML_TAG}, 1)",
+        "_metas": f"regexp_extract_all(_tags, {META}, 1)",
+        "_link_texts": f"regexp_extract_all(_tags, {LINK}, 1)",
+    }
+
+
 # Then, from the pieces. Each layer uses the one before.
 _PIECES = {
     "h1s": f"transform(_h1s, h -> {strip_tags('h')})",
@@ -176,7 +194,9 @@ def page_facts(pages: DataFrame) -> DataFrame:
         }
     )
     return (
-        source.selectExpr(*PAGE_COLUMNS, *_aliased(_FROM_DOCUMENT))
+        source.selectExpr(*PAGE_COLUMNS, "html", *_aliased(_FROM_DOCUMENT))
+        .selectExpr("*", *_aliased(_from_tags("html")))
+        .drop("html")
         .selectExpr("*", *_aliased(_PIECES))
         .selectExpr("*", *_aliased(_SCRIPT_PIECES))
         .selectExpr("*", f"{jsonld.kept_blocks('_json_bodies')} AS _blocks")
