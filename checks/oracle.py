@@ -539,7 +539,7 @@ FROM sites AS s JOIN (SELECT origin, count(*) AS n FROM discovered GROUP BY orig
     "audit_notes": f"SELECT page_id, origin, url, note FROM (SELECT page_id, origin, url, {_PAGE_NOTE} AS note FROM audit) AS n WHERE note IS NOT NULL",
     "site_audit_notes": "SELECT origin, note_kind, note, first_pos FROM site_note_rows",
     "page_severity_counts": _counts("page_totals", "page_id, url"),
-    "severity_counts": _counts("site_totals", "origin"),
+    "severity_counts": _counts("site_totals", "origin, CAST(pages AS INTEGER) AS pages, CAST(page_findings AS BIGINT) AS page_findings"),
     "page_executive_summary": _PAGE_SUMMARY,
     "executive_summary": _SITE_SUMMARY,
     "page_priority_matrix": f"SELECT page_id, url, rank, severity, {cell('title')} AS title, area, effort, {cell('evidence')} AS evidence FROM findings",
@@ -572,5 +572,133 @@ FROM site_pages AS s JOIN (SELECT p.origin, p.page_pos, count(r.rule_id) AS n FR
 }
 
 
+def _md_rows(source: str, key: str, line: str, order: str) -> str:
+    """Lines of one section per page or site."""
+    return f"(SELECT {key}, string_agg({line}, chr(10) ORDER BY {order}) AS md FROM {source} GROUP BY {key})"
+
+
+def _md_cells(*cells: str) -> str:
+    return "'| ' || " + " || ' | ' || ".join(cells) + " || ' |'"
+
+
+def _md_head(columns: str) -> str:
+    n = columns.count("|") - 1
+    return lit(columns) + " || chr(10) || " + lit("|" + " --- |" * n) + " || chr(10) || "
+
+
+def _md_plan(plan: str, key: str, form: R.Form) -> str:
+    """The four weeks with their headings."""
+    titles = "CASE week " + " ".join(
+        f"WHEN {n} THEN {lit(f'### Week {n}: {title}')}" for n, title in enumerate(form.week_titles, start=1)
+    ) + " END"
+    weeks = _md_rows(f"({plan}) AS p", f"{key}, week", "'- ' || item", "pos")
+    return (
+        f"(SELECT {key}, string_agg({titles} || chr(10) || chr(10) || md, chr(10) || chr(10) ORDER BY week) AS md "
+        f"FROM {weeks} AS w GROUP BY {key})"
+    )
+
+
+def _md_join(base: str, key: str, sections: dict[str, tuple[str, str]], heading: str) -> str:
+    """``heading`` and the sections one after the other; a section is (text around ``md``, table)."""
+    nl2 = "chr(10) || chr(10)"
+    parts, joins = [heading], []
+    for n, (title, (text, table)) in enumerate(sections.items()):
+        parts.append(f"{lit('## ' + title)} || {nl2} || " + text.replace("md", f"s{n}.md"))
+        joins.append(f"LEFT JOIN {table} AS s{n} ON s{n}.{key} = b.{key}")
+    document = f" || {nl2} || ".join(f"({part})" for part in parts)
+    return f"SELECT {document} AS markdown, b.* FROM {base} AS b " + " ".join(joins)
+
+
+_STAMP = "'2024-05-01T12:30:00.000Z'"
+_QUICK = f"coalesce(md, {lit('- ' + R.NO_QUICK_WINS)})"
+
+
+def _md_common(key: str, findings: str, matrix: tuple[str, ...], extra_head: str, names: tuple[str, str, str]) -> dict[str, tuple[str, str]]:
+    summary, quick, plan = names
+    form = R.PAGE if key == "page_id" else R.SITE
+    return {
+        "Summary": ("md", f"(SELECT {key}, summary AS md FROM ({FINAL[summary]}) AS x)"),
+        "Priorities": (
+            _md_head(f"| Severity | Finding | Area | Effort |{extra_head} Evidence |") + "coalesce(md, '')",
+            _md_rows(findings, key, _md_cells(*matrix), "rank"),
+        ),
+        "How to fix and verify": (
+            _md_head("| Finding | Fix | Verify | Tools |") + "coalesce(md, '')",
+            _md_rows(findings, key, _md_cells(cell("title"), cell("fix"), cell("validation"), "tools"), "rank"),
+        ),
+        "Quick wins": (_QUICK, _md_rows(f"({FINAL[quick]}) AS x", key, "'- ' || item", "pos")),
+        "Plan for 30 days": ("md", _md_plan(FINAL[plan], key, form)),
+    }
+
+
+def _page_markdown() -> str:
+    matrix = ("severity", cell("title"), "area", "effort", cell("evidence"))
+    sections = _md_common("page_id", "findings", matrix, "", ("page_executive_summary", "page_quick_wins", "page_action_plan"))
+    sections["What was seen"] = (
+        _md_head("| Signal | Value |") + "md",
+        _md_rows(f"({FINAL['observed_signals']}) AS x", "page_id", _md_cells("signal", "value"), "pos"),
+    )
+    sections["Notes"] = (
+        f"'- ' || coalesce(md, {lit(R.CLEAN_NOTES)}) || chr(10)",
+        f"(SELECT page_id, note AS md FROM ({FINAL['audit_notes']}) AS x)",
+    )
+    heading = (
+        "'# Page audit' || chr(10) || chr(10) || '**Page:** ' || b.url || '  ' || chr(10) || '**Audited:** ' || "
+        f"{_STAMP} || '  ' || chr(10) || '**HTTP status:** ' || b.status"
+    )
+    document = _md_join("(SELECT page_id, url, status FROM audit)", "page_id", sections, heading)
+    return f"SELECT page_id, url, markdown FROM ({document}) AS d"
+
+
+def _site_markdown() -> str:
+    matrix = (
+        "severity", cell("title"), "area", "effort", "CAST(affected AS VARCHAR)", cell("templates"), cell("evidence"),
+    )
+    with_templates = (
+        "(SELECT p.*, t.templates FROM found_patterns AS p JOIN found_pattern_templates AS t "
+        "ON t.origin = p.origin AND t.rule_id = p.rule_id AND t.title = p.title) AS f"
+    )
+    common = _md_common(
+        "origin", with_templates, matrix, " Pages | Templates |", ("executive_summary", "quick_wins", "action_plan")
+    )
+    block = (
+        f"(SELECT e.origin, e.rank, '### ' || any_value(p.severity) || ': ' || any_value(e.title) || chr(10) || chr(10) || "
+        "string_agg('- ' || e.url, chr(10) ORDER BY e.pos) || CASE WHEN any_value(e.others) > 0 "
+        "THEN chr(10) || '- and ' || any_value(e.others) || ' more' ELSE '' END AS block "
+        f"FROM ({FINAL['affected_examples']}) AS e JOIN found_patterns AS p ON p.origin = e.origin AND p.rank = e.rank "
+        "GROUP BY e.origin, e.rank) AS x"
+    )
+    examples = f"(SELECT origin, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS md FROM {block} GROUP BY origin)"
+    sections = {}
+    for title, section in common.items():
+        if title == "Quick wins":
+            sections["Pages concerned"] = ("coalesce(md, '')", examples)
+        sections[title] = section
+    heading = (
+        "'# Site audit' || chr(10) || chr(10) || '**Site:** ' || b.start_url || '  ' || chr(10) || '**Audited:** ' || "
+        f"{_STAMP} || '  ' || chr(10) || '**Pages:** ' || b.pages || '  ' || chr(10) || '**Found by:** ' || "
+        + _DESCRIPTION.replace("{n}", "b.pages")
+    )
+    head = _md_join("site_totals", "origin", sections, heading)
+    page_head = "## Pages\n\n| Page | Status | Findings | Title | Rendered page |\n| --- | --- | --- | --- | --- |\n"
+    lines = _md_cells("url", "CAST(status AS VARCHAR)", "CAST(findings AS VARCHAR)", "title", "rendered")
+    block_of = f"CAST(({{}} - 1) // {R.LINES_PER_PART} AS BIGINT)"
+    pages = _md_rows(f"(SELECT *, 1 + {block_of.format('page_pos')} AS part FROM ({FINAL['pages_audited']}) AS y) AS x", "origin, part", lines, "page_pos")
+    first_note = f"{R.NOTES_PART} + 1 + CAST(note_kind AS BIGINT) * {R.NOTES_PART} + {block_of.format('first_pos')}"
+    notes = _md_rows(f"(SELECT *, {first_note} AS part FROM site_note_rows) AS x", "origin, part", "'- ' || note", "first_pos")
+    clean = lit(f"- {R.CLEAN_NOTES}\n")
+    return f"""
+SELECT origin, CAST(0 AS BIGINT) AS part, markdown || chr(10) || chr(10) || {lit(page_head)} AS markdown FROM ({head}) AS d
+UNION ALL SELECT origin, part, md || chr(10) AS markdown FROM {pages} AS p
+UNION ALL SELECT s.origin, CAST({R.NOTES_PART} AS BIGINT) AS part, chr(10) || '## Notes' || chr(10) || chr(10) || CASE WHEN n.n IS NULL THEN {clean} ELSE '' END AS markdown
+FROM sites AS s LEFT JOIN (SELECT origin, count(*) AS n FROM site_note_rows GROUP BY origin) AS n ON n.origin = s.origin
+UNION ALL SELECT origin, part, md || chr(10) AS markdown FROM {notes} AS q
+"""
+
+
+FINAL["page_report_markdown"] = _page_markdown()
+FINAL["report_markdown"] = _site_markdown()
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_ctes(sql.strip()) for name, sql in FINAL.items()}

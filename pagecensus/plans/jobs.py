@@ -65,6 +65,12 @@ def audit_pages(
     return _stage(spark, report.run_summary(audited), out, "run_summary", run_date)
 
 
+def _check_one_seed_per_site(sites: DataFrame) -> None:
+    repeated = sites.groupBy("origin").count().where("count > 1").select("origin").head()
+    if repeated:
+        raise ValueError(f"several seeds for {repeated.origin}; give one per site")
+
+
 def _only_chosen(crawl: DataFrame, chosen: DataFrame) -> DataFrame:
     """Leave out documents no site asked for, if the list of the others is short enough.
 
@@ -89,11 +95,12 @@ def audit_sites(
 ) -> DataFrame:
     """Audit the discovered pages of every seed and write the site reports.
 
-    Returns the run summary.
+    A site is an origin, so there is one seed per origin. Returns the run summary.
     """
     prepare(spark)
     run_date = run_ts[:10]
     sites = _stage(spark, discovered_sites(seeds, resources, files), out, "sites", run_date)
+    _check_one_seed_per_site(sites)
     addresses = snapshots.crawl_pages(crawl).select("page_id", "url")
     chosen = _stage(
         spark, chosen_snapshots(discovered_urls(sites), addresses), out, "chosen_pages", run_date

@@ -21,11 +21,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a session that names none (tests, laptops) gets a temporary one.
+    A local session that names none (tests, laptops) gets a temporary one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     fresh = tempfile.mkdtemp(prefix="pagecensus-")
     spark.conf.set("spark.checkpoint.dir", fresh)
     return fresh
