@@ -1,3 +1,5 @@
+import uuid
+
 from pagecensus.operators import findings
 from pagecensus.plans.pipeline import audit_rows
 from pagecensus.sources import snapshots
@@ -10,10 +12,12 @@ def test_arriving_snapshots_get_the_batch_findings(spark, tmp_path):
     first = crawl(spark, [(n, f"https://a.example/{n}", f"<title>{n}</title>") for n in range(5)])
     second = crawl(spark, [{"page_id": 9, "url": "https://b.example/", "error": "timeout"}])
     folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    # The shared folder outlives a test run, so its name must be new.
+    name = f"arrivals-{uuid.uuid4().hex}"
     for batch in (first, second):
         batch.write.mode("append").parquet(folder)
         stream = arrivals.read_arrivals(spark, folder)
-        arrivals.write_findings(spark, stream, site, out, f"arrivals-{tmp_path.name}").awaitTermination()
+        arrivals.write_findings(spark, stream, site, out, name).awaitTermination()
     got = spark.read.parquet(out)
     batch = findings.described_rows(findings.finding_rows(audit_rows(first.unionByName(second), site)))
     assert got.exceptAll(batch).count() == batch.exceptAll(got).count() == 0
