@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagecensus.session import stage
 
-__all__ = ["arrow_map", "load", "prepare", "shuffle_parts", "stage"]
+__all__ = ["Table", "arrow_map", "load", "prepare", "shuffle_parts", "stage"]
 
 # Rows an Arrow batch holds at most: documents are some kilobytes, so a batch is some megabytes.
 BATCH_ROWS = 1000
@@ -39,6 +39,25 @@ def arrow_map(
     return rows.mapInArrow(batches, schema)
 
 
+class Table(dict):
+    """A table of at most ``2 * limit`` recent entries: two generations, found entries move to the new one."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that are unknown; the known ones can be looked up from now on."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        unknown = keys.difference(self)
+        again = unknown.intersection(self.old)
+        self.update((k, self.old[k]) for k in again)
+        return unknown - again
+
+
 # ---- hashing of words ------------------------------------------------------------------------
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from pagecensus.llm.common import arrow_map
+from pagecensus.llm.common import Table, arrow_map
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -39,25 +39,6 @@ PIECES = (
 )
 
 
-class Table(dict):
-    """A table of at most ``2 * limit`` recent entries: two generations, found entries move to the new one."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
-        self.old: dict = {}
-
-    def missing(self, keys: set) -> set:
-        """Those of ``keys`` that are unknown; the known ones can be looked up from now on."""
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-        unknown = keys.difference(self)
-        again = unknown.intersection(self.old)
-        self.update((k, self.old[k]) for k in again)
-        return unknown - again
-
-
 # The pre-tokenizer's pattern in the vocabulary file, a fixed value.
 _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Words of these characters are in normal form already, and lower-casing keeps them so.

@@ -7,12 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagecensus.llm import packing
+from pagecensus.llm import fingerprints, packing, pieces
 from pagecensus.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared_with_edits(load(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digests(pieces.decode(pieces.encode(load(spark, sf_dir, "documents"), model), model))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.selectExpr(
@@ -22,7 +31,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_packing": op8_packing}
+    return {
+        "op2_fingerprints": op2_fingerprints,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op8_packing": op8_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
