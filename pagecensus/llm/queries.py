@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagecensus.llm import fingerprints, packing, pieces
+from pagecensus.llm import debruijn, fingerprints, packing, pieces
 from pagecensus.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,11 +30,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digests(debruijn.remove_repeats(load(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_fingerprints": op2_fingerprints,
         "op5_sentencepiece": op5_sentencepiece,
         "op8_packing": op8_packing,
+        "op10_debruijn": op10_debruijn,
     }
 
 
