@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagecensus.llm import debruijn, fingerprints, packing, pieces
+from pagecensus.llm import debruijn, fingerprints, packing, pieces, suffixes
 from pagecensus.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(load(spark, sf_dir, "documents")))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_edits(load(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_repeats": op1_suffix_repeats,
         "op2_fingerprints": op2_fingerprints,
         "op5_sentencepiece": op5_sentencepiece,
         "op8_packing": op8_packing,
