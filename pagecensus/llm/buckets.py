@@ -51,10 +51,11 @@ class Hashed:
     """
 
     hash: np.ndarray
+    sent_bits = SENT_BITS
 
     def distinct(self, bits: int) -> None:
-        """Sort the hashes' upper ``bits + SENT_BITS`` bits; the first ``bits`` name the bucket."""
-        sent = self.hash >> np.uint64(64 - SENT_BITS - bits)
+        """Sort the hashes' upper ``bits + sent_bits`` bits; the first ``bits`` name the bucket."""
+        sent = self.hash >> np.uint64(64 - self.sent_bits - bits)
         self.order = np.argsort(sent, kind="stable")
         ordered = sent[self.order]
         new = np.ones(len(ordered), dtype=bool)
@@ -65,7 +66,7 @@ class Hashed:
         self.of = np.empty(len(sent), dtype=np.int64)  # item -> index of its distinct hash
         self.of[self.order] = np.cumsum(new) - 1
         self.repeated = np.zeros(len(self.sent), dtype=bool)
-        self.cuts = np.searchsorted(self.sent >> np.uint64(SENT_BITS), np.arange(2**bits + 1, dtype=np.uint64))
+        self.cuts = np.searchsorted(self.sent >> np.uint64(self.sent_bits), np.arange(2**bits + 1, dtype=np.uint64))
 
     def slices(self) -> Iterator[tuple[int, slice]]:
         """The buckets that get something, each with its part of the distinct hashes."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagecensus.llm import debruijn, fingerprints, packing, pieces, suffixes
+from pagecensus.llm import debruijn, fingerprints, jaccard, packing, pieces, suffixes
 from pagecensus.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_edits(load(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(load(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.digests(pieces.decode(pieces.encode(load(spark, sf_dir, "documents"), model), model))
@@ -42,6 +46,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_suffix_repeats": op1_suffix_repeats,
         "op2_fingerprints": op2_fingerprints,
+        "op3_jaccard_join": op3_jaccard_join,
         "op5_sentencepiece": op5_sentencepiece,
         "op8_packing": op8_packing,
         "op10_debruijn": op10_debruijn,
