@@ -92,7 +92,7 @@ class Chunk(Hashed):
             base = self.bounds[begin]
             place, value, first, last = _anchors(data, ends, size, gram)
             places.append(place + base)
-            hashes.append(value)
+            hashes.append(mixed(value))  # the smallest hashes were chosen; spread them over the buckets
             firsts.append(first + base)
             lasts.append(last + base)
         empty = np.empty(0, dtype=np.int64)
