@@ -1,24 +1,61 @@
 """A pipeline over ``documents``: each stage is one of the corpus operators.
 
-Every stage is written as Parquet in the shared folder and read again as the next one's documents.
+Documents that the classifier rejects go, one of each group of near duplicates stays, strings that still
+repeat are cut out, personal data is replaced, and the rest is packed into token windows. Every stage is
+written as Parquet to the shared folder and read again as the next one's documents.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagecensus.llm import packing
+from pagecensus.llm import jaccard, packing, pii, quality, suffixes
 from pagecensus.llm.common import load, prepare, stage
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """The documents with the length of their text after a stage changed it."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier good than not, by their text and their site."""
+    return quality.keep_good(docs, load(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingles of five words at 80 percent."""
+    prepare(spark)
+    return jaccard.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 400 bytes that start anywhere else too."""
+    prepare(spark)
+    return _counted(suffixes.without_repeats(docs))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data."""
+    prepare(spark)
+    return _counted(pii.with_surrogates(docs, pii.key_of(spark)).drop("_entities"))
+
+
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in token windows."""
     prepare(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack_tokens)]
+STAGES = [
+    ("quality", reject_bad),
+    ("near_copies", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("personal_data", replace_personal_data),
+    ("packing", pack_tokens),
+]
 
 # Models, surrogates and packing are not expressible in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None

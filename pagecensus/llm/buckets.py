@@ -134,13 +134,13 @@ def ids_of(docs: pa.Table) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, chunk_docs: int) -> tuple[GroupedData, int]:
-    """``docs`` (``doc_id, text``) grouped by chunk, and how many bits of a hash name a bucket.
+    """``docs`` (``doc_id, text`` and what comes along) grouped by chunk, and how many bits of a hash name a bucket.
 
     The groups may be used several times in one query: Spark reuses the exchange.
     """
     chunks = max(2 * shuffle_parts(docs.sparkSession), -(-docs.count() // chunk_docs))
     numbered = docs.withColumn("chunk", F.expr(f"CAST(pmod(xxhash64(doc_id, text), {chunks}) AS INT)"))
-    return numbered.select("chunk", "doc_id", "text").groupBy("chunk"), min(16, (chunks - 1).bit_length())
+    return numbered.groupBy("chunk"), min(16, (chunks - 1).bit_length())
 
 
 def on_chunks(send, own: dict):

@@ -349,6 +349,17 @@ def similar_documents(
     )
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
+    """The documents with the smallest id of their component, with their columns unchanged.
+
+    A document without an id cannot be named in a component and stays; of rows with one id, all go if
+    one of them does.
+    """
+    found = similar_documents(docs, words, percent, id_col).where("doc_id <> component_id")
+    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+
+
 def brute_force(
     docs: list[tuple[int, str | None]], words: int = WORDS, percent: int = PERCENT
 ) -> dict[int, tuple[int, int]]:

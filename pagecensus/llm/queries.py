@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagecensus.llm import debruijn, fingerprints, jaccard, packing, pieces, suffixes
+from pagecensus.llm import debruijn, fingerprints, jaccard, licences, packing, pieces, pii, quality, suffixes
 from pagecensus.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +25,24 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(load(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(licences.scan(load(spark, sf_dir, "documents")))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.digests(pieces.decode(pieces.encode(load(spark, sf_dir, "documents"), model), model))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = quality.fit(docs, load(spark, sf_dir, "labels"))
+    return quality.posteriors(docs, model).selectExpr(
+        "doc_id", "_evidence AS evidence", "_host_share AS host_share", "_path_share AS path_share",
+        "_good AS good", f"_good >= {quality.THRESHOLD} AS keep",
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.selectExpr(
@@ -38,6 +51,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.with_surrogates(load(spark, sf_dir, "documents"), pii.key_of(spark))
+    return replaced.selectExpr(
+        "doc_id", "text", "CAST(size(_entities) AS LONG) AS n_entities",
+        "transform(_entities, e -> named_struct('kind', e.kind, 'start', e.start, 'surrogate', e.surrogate)) AS entities",
+    )
+
+
 def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.digests(debruijn.remove_repeats(load(spark, sf_dir, "documents")))
 
@@ -47,8 +68,11 @@ def queries() -> dict[str, Query]:
         "op1_suffix_repeats": op1_suffix_repeats,
         "op2_fingerprints": op2_fingerprints,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_licence_scan": op4_licence_scan,
         "op5_sentencepiece": op5_sentencepiece,
+        "op7_quality": op7_quality,
         "op8_packing": op8_packing,
+        "op9_surrogates": op9_surrogates,
         "op10_debruijn": op10_debruijn,
     }
 

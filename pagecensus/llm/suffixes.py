@@ -18,12 +18,13 @@ suffix of the array, so large groups of copies are small here.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagecensus.llm.buckets import (
     ANSWER, ANSWER_KINDS, CHUNK_DOCS, SENT, SENT_KINDS, Hashed, answer_repeated, arrow_table, chunked,
@@ -342,7 +343,7 @@ def _answer_groups(rows: pa.Table, size: int) -> pa.Table:
     return arrow_table(out, ANSWER_KINDS, ANSWER)
 
 
-REMOVED = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept binary"
+_REMOVED = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept binary"
 
 
 def _removed(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int) -> pa.Table:
@@ -376,7 +377,8 @@ def _removed(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int)
         pa.int64(), pa.int64(), pa.int64(),
         pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary(),
     ]
-    return arrow_table(rows, kinds, "doc_id, n_bytes, n_removed, spans, kept")
+    out = arrow_table(rows, kinds, "doc_id, n_bytes, n_removed, spans, kept")
+    return out.append_column("row", docs.column("row")) if "row" in docs.schema.names else out
 
 
 GROUPS = "group_id long, length long, doc_id long, start long"
@@ -405,8 +407,12 @@ def _group_rows(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: i
     return arrow_table(rows, kinds, GROUPS)
 
 
-def _answers(docs: DataFrame, min_bytes: int, chunk_docs: int, answer, id_col: str, text_col: str):
-    rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text")
+def _answers(docs: DataFrame, min_bytes: int, chunk_docs: int, answer, id_col: str, text_col: str, carry=()):
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{text_col}`").alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []),
+    )
     by_chunk, bits = chunked(rows, chunk_docs)
     own = {"size": min_bytes, "gram": max(1, round(min_bytes * GRAM_SHARE)), "bits": bits}
     anchors = by_chunk.applyInArrow(on_chunks(_send_anchors, own), SENT)
@@ -426,16 +432,39 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     chunk_docs: int = CHUNK_DOCS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept``: bytes in a string of ``min_bytes`` bytes that also
     starts elsewhere in the corpus, the same document included, are removed; all are judged on the input.
 
     ``spans`` are the maximal runs of removed bytes, ``kept`` the other bytes. Null and empty texts have
     no bytes. Null and repeated ids do no harm: rows are documents. Repeated rows are copies of one
-    another. An empty table gives no rows; other columns are ignored.
+    another. An empty table gives no rows. The columns named in ``carry`` come along in a struct ``row``,
+    the others are ignored.
     """
-    grouped, own = _answers(docs, min_bytes, chunk_docs, _answer_coverage, id_col, text_col)
-    return grouped.applyInArrow(on_answers(_removed, own), REMOVED)
+    grouped, own = _answers(docs, min_bytes, chunk_docs, _answer_coverage, id_col, text_col, carry)
+    schema = StructType.fromDDL(_REMOVED)
+    if carry:
+        schema = schema.add("row", StructType([docs.schema[c] for c in carry]))
+    return grouped.applyInArrow(on_answers(_removed, own), schema)
+
+
+def without_repeats(
+    docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents without the bytes that ``remove_repeats`` removes, all columns as they were.
+
+    A character that is removed in part goes as a whole. A document of which nothing is left stays, with
+    an empty text; a null text becomes empty.
+    """
+    rows = remove_repeats(docs, min_bytes, id_col, text_col, carry=[c for c in docs.columns if c != text_col])
+    # A cut through a character leaves bytes that are no UTF-8.
+    kept = F.col("kept").cast("string")
+    whole = F.when(F.expr("is_valid_utf8(CAST(kept AS STRING))"), kept).otherwise(
+        F.regexp_replace(F.expr("make_valid_utf8(CAST(kept AS STRING))"), "\ufffd", "")
+    )
+    text = F.when(F.size("spans") > 0, whole).otherwise(kept)
+    return rows.select(*[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def repeat_groups(
