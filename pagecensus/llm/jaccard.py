@@ -7,10 +7,12 @@ short starts have few pairs. Larger sets are *heavy*: they are found in the inve
 shingles, as are the light ones that can be similar to them. The boundary is where listing pairs becomes
 dearer than scanning lists. Shingles in one document only open no list.
 
-Lists give candidates, never all pairs of a list. First every set is compared with one leader, the set
-of its lists with the fewest rare shingles that it meets most often: copies of an original meet the
-original. Then sets that share a list but are not connected yet are compared. All comparisons are exact,
-and the links lost to a short cut would only be those inside a component that is known already.
+Lists give candidates, never all pairs of a list. Every set joins the group of one leader, the set of its
+lists with the fewest rare shingles that it meets most often: copies of an original meet the original. In
+a group, inverted lists of all shingles are scanned and counted, from the leader first; sets that are in
+the leader's component by then need no scan of their own. A large group is split into blocks, and every
+pair of blocks is a task. Then sets that share a list, but neither group nor component, are compared one
+by one. All comparisons are exact; what is left out are links inside a component that is known already.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pagecensus.llm.buckets import (
     ANSWER, ANSWER_KINDS, CHUNK_DOCS, SENT, SENT_KINDS, Hashed, arrow_table,
     chunked, on_answers, on_chunks, packed, text_groups, unpacked,
 )
-from pagecensus.llm.common import arrow_map, mixed, prefix_hashes, span_hashes, stage, utf8, window_hashes, word_spans
+from pagecensus.llm.common import (
+    arrow_map, mixed, prefix_hashes, shuffle_parts, span_hashes, stage, utf8, window_hashes, word_spans,
+)
 from pagecensus.llm.components import components
 
 WORDS = 5
@@ -35,6 +39,8 @@ PERCENT = 80
 LIST_COST = 3
 # Bytes of a shingle's hash that sets are compared by.
 _SET_BYTES = 6
+# Sets of a group that are scanned together; larger groups are split.
+BLOCK_SETS = 1024
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -269,6 +275,87 @@ def _similar(percent: int):
     return compare
 
 
+def _linked_in_group(nodes: list[int], sets: list[np.ndarray], leader: int, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is similar in a group, by scanning its inverted lists."""
+    sizes = np.array([len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[order], owners[order]
+    first = np.searchsorted(tokens, tokens)
+    counts = np.searchsorted(tokens, tokens, side="right") - first
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    bounds = np.cumsum([0, *sizes])
+    parent = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    links = []
+
+    def scan(i: int) -> None:
+        at = place[bounds[i] : bounds[i + 1]]
+        begin, size = first[at], counts[at]
+        steps = np.ones(int(size.sum()), dtype=np.int64)
+        ends = np.cumsum(size)
+        steps[0] = begin[0]
+        steps[ends[:-1]] = begin[1:] - begin[:-1] - size[:-1] + 1
+        shared = np.bincount(owners[np.cumsum(steps)], minlength=len(sets))
+        for j in np.flatnonzero(100 * shared >= percent * (sizes + sizes[i] - shared)).tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                parent[a] = b
+                links.append((nodes[i], nodes[j]))
+
+    scan(leader)
+    for i in range(len(sets)):
+        if i != leader and root(i) != root(leader):
+            scan(i)
+    return links
+
+
+def _scan(rows: pa.Table, percent: int) -> pa.Table:
+    """The groups, or pairs of blocks of one, that fell to a task."""
+    of: dict[tuple, dict[int, bytes]] = {}
+    columns = (rows.column(c).to_pylist() for c in ("leader", "one", "other", "node", "data"))
+    for leader, one, other, node, data in zip(*columns, strict=True):
+        of.setdefault((leader, one, other), {})[node] = data
+    links = []
+    for (leader, _, _), sets in sorted(of.items()):
+        nodes = sorted(sets)
+        links += _linked_in_group(nodes, [_decoded(sets[n]) for n in nodes], nodes.index(leader), percent)
+    columns = zip(*links, strict=True) if links else ([], [])
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
+
+
+def _group_links(best: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links inside the groups of leaders (``node, leader``)."""
+    tasks = 4 * shuffle_parts(best.sparkSession)
+    blocks = best.groupBy("leader").agg(F.expr(f"CAST(ceil(count(*) / {block}) AS INT) AS blocks"))
+    members = best.union(best.selectExpr("leader AS node", "leader")).distinct()
+    placed = members.join(blocks, "leader").join(sets, "node")
+    own = "CAST(pmod(xxhash64(node), blocks) AS INT)"
+    # A set goes to every pair of blocks that holds its own; the leader to all pairs.
+    pairs = (
+        "CASE WHEN blocks = 1 THEN array(struct(0 AS one, 0 AS other)) WHEN node = leader THEN "
+        "flatten(transform(sequence(0, blocks - 1), i -> transform(sequence(i, blocks - 1), j -> struct(i AS one, j AS other)))) "
+        f"ELSE transform(sequence(0, blocks - 1), i -> struct(least(i, {own}) AS one, greatest(i, {own}) AS other)) END"
+    )
+    spread = placed.selectExpr("leader", "node", "data", "blocks", f"explode({pairs}) AS pair").selectExpr(
+        "leader", "node", "data", "pair.one", "pair.other",
+        f"CASE WHEN blocks = 1 THEN pmod(xxhash64(leader), {tasks}) ELSE xxhash64(leader, pair.one, pair.other) END AS task",
+    )
+
+    def scanned(rows: pa.Table) -> pa.Table:
+        return _scan(rows, percent)
+
+    return spread.groupBy("task").applyInArrow(scanned, "u long, v long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs ``u, v`` whose sets are similar."""
     rows = (
@@ -287,6 +374,7 @@ def similar_documents(
     text_col: str = "text",
     chunk_docs: int = CHUNK_DOCS,
     list_cost: float = LIST_COST,
+    block_sets: int = BLOCK_SETS,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: documents linked if ``100 * shared >= percent * united``.
 
@@ -312,24 +400,28 @@ def similar_documents(
         return _leaders(rows, percent)
 
     met = keys.groupBy("bucket").applyInArrow(leaders, LED).groupBy("node", "leader").agg(F.sum("met").alias("met"))
-    best = met.groupBy("node").agg(F.expr("max_by(leader, struct(met, leader)) AS leader"))
-    first = stage(_verified(best.selectExpr("node AS u", "leader AS v"), sets, percent), "jaccard-links")
+    best = stage(met.groupBy("node").agg(F.expr("max_by(leader, struct(met, leader)) AS leader")), "jaccard-led")
+    first = stage(_group_links(best, sets, percent, block_sets), "jaccard-links")
     known = stage(components(first), "jaccard-known")
 
-    # Sets of one list that no link connects yet; the larger key range of a frequent shingle is split.
+    # Sets of one list that neither a group nor a component holds together.
     listed = arrow_map(keys.select("data"), _listed, LISTED).distinct()
-    placed = listed.join(known, "node", "left").selectExpr(
-        "key", "node", "size", "place", "coalesce(component, node) AS component"
+    groups = best.join(known, "node", "full").selectExpr(
+        "node", "coalesce(leader, node) AS leader", "coalesce(component, node) AS component"
+    )
+    placed = listed.join(groups, "node", "left").selectExpr(
+        "key", "node", "size", "place", "coalesce(leader, node) AS leader", "coalesce(component, node) AS component"
     )
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    placed = stage(placed.join(open_keys.select("key"), "key", "left_semi"), "jaccard-open")
+    open_keys = open_keys.select("key")
+    placed = stage(placed.join(open_keys, "key", "left_semi"), "jaccard-open")
     other = placed.selectExpr(
-        "key", "node AS v", "size AS size_v", "place AS place_v", "component AS component_v"
+        "key", "node AS v", "size AS size_v", "place AS place_v", "leader AS leader_v", "component AS component_v"
     )
     needed = f"{percent} * (size + size_v)"
     pairs = (
         placed.join(other, "key")
-        .where("component < component_v")
+        .where("component < component_v AND leader <> leader_v AND node <> leader_v AND leader <> v")
         .where(f"100 * least(size, size_v) >= {percent} * greatest(size, size_v)")
         # What can still be shared behind the places of the common shingle, that one included.
         .where(f"{100 + percent} * (least(size - place, size_v - place_v) + least(place, place_v)) >= {needed}")
