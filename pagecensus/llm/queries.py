@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagecensus.llm import debruijn, fingerprints, jaccard, licences, packing, pieces, pii, quality, suffixes
+from pagecensus.llm import (
+    debruijn, fingerprints, forest, jaccard, licences, packing, pieces, pii, quality, suffixes,
+)
 from pagecensus.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +36,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.decode(pieces.encode(load(spark, sf_dir, "documents"), model), model))
 
 
+def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = quality.fit(docs, load(spark, sf_dir, "labels"))
@@ -70,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op3_jaccard_join": op3_jaccard_join,
         "op4_licence_scan": op4_licence_scan,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_forest": op6_forest,
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
         "op9_surrogates": op9_surrogates,
