@@ -265,8 +265,8 @@ class SuffixArray:
         for ``left`` bytes, and then differ, are a group; if they all lie in one child of the interval,
         they go on alike to the right and belong to the child.
         """
-        for i in np.flatnonzero(self.many & (self.left_size + self.right_size >= size)).tolist():
-            yield int(self.left_size[i]), int(self.right_size[i]), [i]
+        # Suffixes whose whole context occurs several times, unless others hold it as a part of theirs.
+        alone = set(np.flatnonzero(self.many & (self.left_size + self.right_size >= size)).tolist())
         for length, first, stop in self.intervals():
             members, shared = self._left_neighbours(first, stop)
             ends = [*shared.tolist(), -1]
@@ -277,9 +277,13 @@ class SuffixArray:
                     left, begin = stack.pop()
                     group = np.sort(members[begin:i])
                     if left + length >= size and int(self.prefix[group[0] + 1 : group[-1] + 1].min()) == length:
+                        whole = (self.left_size[group] == left) & (self.right_size[group] == length)
+                        alone.difference_update(group[whole].tolist())
                         yield left, length, group.tolist()
                 if value >= 0 and (not stack or stack[-1][0] < value):
                     stack.append((value, begin))
+        for i in sorted(alone):
+            yield int(self.left_size[i]), int(self.right_size[i]), [i]
 
 
 def _matrix(parts: list[bytes], width: int) -> np.ndarray:
