@@ -84,6 +84,12 @@ FROM (SELECT origin, body, block, concat('<sitemap><loc>', origin, '/sitemap-',
 GROUP BY origin
 """
 
+# The files those indexes name.
+SITEMAP_FILES = """
+SELECT concat(origin, '/sitemap-', CAST(block AS {text}), '.xml') AS url, 200 AS status, body
+FROM sitemap_blocks
+"""
+
 # Every origin again, with an index of up to seven child sitemaps per number range and one foreign
 # entry. One child is broken, one is an index itself, so its entries count as pages.
 INDEX_FILES = """
@@ -140,6 +146,7 @@ VIEWS = {
     "site_snapshots": SITE_SNAPSHOTS,
     "sitemap_blocks": SITEMAP_BLOCKS,
     "site_resources": SITE_RESOURCES,
+    "sitemap_files": SITEMAP_FILES,
     "index_files": INDEX_FILES,
     "index_resources": INDEX_RESOURCES,
     "seeds": SEEDS,
@@ -152,6 +159,7 @@ _NEEDS = {
     "site_snapshots": ("crawl_pages",),
     "sitemap_blocks": ("page_urls",),
     "site_resources": ("sitemap_blocks",),
+    "sitemap_files": ("sitemap_blocks",),
     "index_files": ("page_urls",),
     "index_resources": ("index_files",),
     "seeds": ("crawl_pages",),

@@ -14,13 +14,11 @@ from pagecensus.operators import discovery as D
 from pagecensus.operators import notes as N
 from pagecensus.operators import report as R
 from pagecensus.operators.rules import (
-    DEFAULT_TOOLS,
     EFFORTS,
     FAILURE_RULE,
     NO_EVIDENCE,
     RULES,
     SEVERITIES,
-    TOOLS,
 )
 
 RUN_TS = "2024-05-01 12:30:00"
@@ -232,7 +230,7 @@ def _catalogue() -> str:
             [
                 str(n), lit(r.rule_id), lit(r.area), lit(r.severity), str(SEVERITIES.index(r.severity)), lit(r.effort),
                 str(EFFORTS.index(r.effort)), lit(r.title), lit(r.evidence), lit(r.fix), lit(r.validation),
-                lit(TOOLS.get(r.area, DEFAULT_TOOLS)),
+                lit(r.tools),
             ]
         )
         + ")"
@@ -322,19 +320,29 @@ SELECT origin, robots_body <> '' AND NOT regexp_matches(robots_body, '(?i)^404\b
         "(SELECT i.origin, i.pos AS child, f.body FROM index_locs AS i JOIN index_files AS f ON f.url = i.url WHERE i.pos < 5 AND f.status = 200)",
         "origin, child", "body",
     ),
+    "site_child_locs": _loc_rows(
+        "(SELECT i.origin, i.pos AS child, f.body FROM locs AS i JOIN site_resources AS r ON r.origin = i.origin JOIN sitemap_files AS f ON f.url = i.url "
+        r"WHERE i.pos < 5 AND f.status = 200 AND regexp_matches(r.sitemap_body, '(?i)<sitemapindex\b'))",
+        "origin, child", "body",
+    ),
+    "found_locs": r"""
+SELECT l.origin, l.pos, l.url FROM locs AS l JOIN site_resources AS r ON r.origin = l.origin
+WHERE NOT regexp_matches(r.sitemap_body, '(?i)<sitemapindex\b')
+UNION ALL SELECT origin, child * 10000000 + pos AS pos, url FROM site_child_locs
+""",
     "sites": f"""
 SELECT s.origin, s.start_url, s.max_pages, s.origin || '/sitemap.xml' AS sitemap_url,
   CASE WHEN coalesce(l.n, 0) > 0 THEN 'sitemap.xml' ELSE 'fallback' END AS method, CAST(coalesce(l.n, 0) AS INTEGER) AS total_discovered,
   CASE WHEN r.sitemap_status BETWEEN 200 AND 299 THEN NULL WHEN coalesce(r.sitemap_status, 0) = 0 THEN {lit(D.NOT_FETCHED)}
     ELSE 'HTTP ' || CAST(r.sitemap_status AS VARCHAR) END AS error
 FROM seeds AS s LEFT JOIN site_resources AS r ON r.origin = s.origin
-LEFT JOIN (SELECT locs.origin, count(*) AS n FROM locs JOIN site_resources AS q ON q.origin = locs.origin AND q.sitemap_status = 200 GROUP BY locs.origin) AS l ON l.origin = s.origin
+LEFT JOIN (SELECT f.origin, count(*) AS n FROM found_locs AS f JOIN site_resources AS q ON q.origin = f.origin AND q.sitemap_status = 200 GROUP BY f.origin) AS l ON l.origin = s.origin
 """,
     "discovered": f"""
 SELECT origin, CAST(page_pos AS INTEGER) AS page_pos, url, {template('url')} AS template FROM (
   SELECT u.origin, u.url, row_number() OVER (PARTITION BY u.origin ORDER BY min(u.pos)) AS page_pos, any_value(s.max_pages) AS max_pages
   FROM (SELECT origin, start_url AS url, -1 AS pos FROM sites
-        UNION ALL SELECT l.origin, l.url, l.pos FROM locs AS l JOIN sites AS s ON s.origin = l.origin WHERE s.method = 'sitemap.xml') AS u
+        UNION ALL SELECT l.origin, l.url, l.pos FROM found_locs AS l JOIN sites AS s ON s.origin = l.origin WHERE s.method = 'sitemap.xml') AS u
   JOIN sites AS s ON s.origin = u.origin GROUP BY u.origin, u.url) AS g
 WHERE page_pos <= max_pages
 """,
