@@ -72,6 +72,18 @@ def strip_document(html: str) -> str:
     return f"CASE WHEN contains({tail}, '<') THEN {guarded} ELSE {strip_tags(html)} END"
 
 
+_UP_TO = r"(?i)^([\s\S]*END)"
+
+
+def up_to_last(end_tag: str, html: str) -> str:
+    """The document up to its last ``end_tag``, empty if there is none.
+
+    Elements end there at the latest. Without the cut, each opening tag behind it is searched for an
+    end tag up to the end of the document, which is quadratic for documents that never close them.
+    """
+    return f"regexp_extract({html}, {pattern(_UP_TO.replace('END', end_tag))}, 1)"
+
+
 def utf16_length(text: str) -> str:
     """Length in UTF-16 units, the length the web platform reports."""
     return f"CAST(length(encode({text}, 'UTF-16BE')) DIV 2 AS INT)"

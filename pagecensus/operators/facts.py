@@ -23,6 +23,7 @@ from pagecensus.functions.text import (
     pattern,
     strip_document,
     strip_tags,
+    up_to_last,
     utf16_length,
 )
 
@@ -80,7 +81,7 @@ def _script_structs(texts: str) -> str:
 
 
 def script_texts(html: str) -> str:
-    return f"regexp_extract_all({html}, {SCRIPT}, 0)"
+    return f"regexp_extract_all({up_to_last('</script>', html)}, {SCRIPT}, 0)"
 
 
 def scripts(html: str) -> str:
@@ -96,7 +97,7 @@ def links(html: str) -> str:
 
 def h1s(html: str) -> str:
     """Headings with their tags stripped. Empty ones stay and count."""
-    return f"transform(regexp_extract_all({html}, {H1}, 1), h -> {strip_tags('h')})"
+    return f"transform(regexp_extract_all({up_to_last('</h1>', html)}, {H1}, 1), h -> {strip_tags('h')})"
 
 
 def json_ld_bodies(page_scripts: str) -> str:
@@ -114,12 +115,12 @@ def _html_attribute(name: str) -> str:
 # What one pass over the document each yields. No lambda functions here, so that this projection
 # compiles together with the scan.
 _FROM_DOCUMENT = {
-    "title": strip_tags(f"regexp_extract(html, {TITLE}, 1)"),
+    "title": strip_tags(f"regexp_extract({up_to_last('</title>', 'html')}, {TITLE}, 1)"),
     "visible_text_length": utf16_length(strip_document("html")),
     "framework": "named_struct("
     + ", ".join(f"'{name}', {_contains_any('lower(html)', words)}" for name, words in FRAMEWORKS.items())
     + ")",
-    "_h1s": f"regexp_extract_all(html, {H1}, 1)",
+    "_h1s": f"regexp_extract_all({up_to_last('</h1>', 'html')}, {H1}, 1)",
     "_script_texts": script_texts("html"),
     "_tags": f"array_join(regexp_extract_all(html, {SHORT_TAG}, 0), '')",
 }
@@ -211,7 +212,7 @@ def rendered_facts(rendered: DataFrame) -> DataFrame:
     pieces = ok.selectExpr(
         *state,
         f"{utf16_length(strip_document('html'))} AS rendered_text_length",
-        f"regexp_extract_all(html, {H1}, 1) AS _h1s",
+        f"regexp_extract_all({up_to_last('</h1>', 'html')}, {H1}, 1) AS _h1s",
         f"{script_texts('html')} AS _script_texts",
     ).selectExpr(
         *state,

@@ -1,3 +1,9 @@
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from checks.compare import compare
 from pagecensus.operators import discovery
 from pagecensus.plans.pipeline import SiteAudit, audit_rows, discovered_sites
 from pagecensus.sources import snapshots
@@ -103,3 +109,16 @@ def test_site_pages_take_the_first_snapshot_and_report_missing_ones(spark):
         (4, 4, "", 0, "timeout"),
     ]
     assert [len(r.findings) for r in rows[2:]] == [1, 1]
+
+
+@pytest.mark.parametrize("name", ["discovered_urls", "discovery_summary"])
+def test_sites_with_several_sitemap_files(spark, tmp_path, name):
+    """Page numbers in two ranges make the sitemap an index of files."""
+    pages = spark.read.parquet(f"{entry.SMALLEST}/pages.parquet")
+    both = pages.union(pages.selectExpr("page_id + 50000 AS page_id", "concat(url, '-2') AS url", "html"))
+    both.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert compare(spark, con, str(tmp_path), name, entry.oracle_sql()[name]) == ""
+    summary = entry.queries()["discovery_summary"](spark, str(tmp_path))
+    assert summary.agg(F.sum("total_discovered")).first()[0] > pages.count()

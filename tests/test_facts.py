@@ -215,3 +215,12 @@ def test_row_order_and_partitions_do_not_matter(spark):
     one = facts.page_facts(snapshots.crawl_pages(pages.coalesce(1))).orderBy("page_id").collect()
     many = facts.page_facts(snapshots.crawl_pages(pages.repartition(7, "html"))).orderBy("page_id").collect()
     assert one == many
+
+
+def test_unclosed_tags_take_linear_time(spark):
+    """Quadratic matching would need hours for these documents."""
+    many = 100_000
+    documents = [f"<h1>a</h1>{tag * many}" for tag in ("<h1>", "<script>", "<title>")]
+    rows = facts_of(spark, *documents, "<title>t</title><h1>x</h1><h1>y", "<script>1</script><script>2")
+    assert [r.h1s for r in rows] == [["a"], ["a"], ["a"], ["x"], []]
+    assert rows[3].title == "t" and rows[2].title == ""
