@@ -17,10 +17,7 @@ from pagecensus.operators.rules import RULES, Rule
 from pagecensus.plans.pipeline import SiteAudit, SiteReport, audit_rows, discovered_sites
 from pagecensus.session import prepare
 from pagecensus.sources import snapshots
-from pagecensus.sources.sinks import write_page_markdown, write_site_markdown, write_table
-
-# Up to this many page numbers are sent to every executor (8 bytes each, some 100 MB as a hash table).
-BROADCAST_PAGES = 2_000_000
+from pagecensus.sources.sinks import write_page_markdown, write_site_files, write_site_markdown, write_table
 
 
 def _stage(spark: SparkSession, table: DataFrame, out: str, name: str, run_date: str) -> DataFrame:
@@ -56,6 +53,10 @@ def audit_pages(
         "signals": report.observed_signals(audited),
         "summaries": report.executive_summary(with_issues, report.PAGE),
         "action_plans": report.action_plan(with_issues, report.PAGE),
+        "severity_counts": report.severity_counts(with_issues, report.PAGE),
+        "priorities": report.priority_matrix(with_issues, report.PAGE),
+        "fix_plans": report.fix_plan(with_issues, report.PAGE),
+        "quick_wins": report.quick_wins(with_issues, report.PAGE),
     }
     for name, result in results.items():
         write_table(result, out, name, run_date)
@@ -72,14 +73,12 @@ def _check_one_seed_per_site(sites: DataFrame) -> None:
 
 
 def _only_chosen(crawl: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Leave out documents no site asked for, if the list of the others is short enough.
+    """Leave out documents no site asked for, before facts are extracted.
 
-    The list is sent to the scan, so no document is shuffled. With a longer list every document
-    gets its facts extracted in place, and the narrow fact rows are joined instead.
+    ``chosen`` is a written table of page numbers. Spark knows its size and decides whether the scan
+    gets the list or both sides are joined by page number.
     """
-    if chosen.limit(BROADCAST_PAGES + 1).count() > BROADCAST_PAGES:
-        return crawl
-    return crawl.join(F.broadcast(chosen.select("page_id")), "page_id", "left_semi")
+    return crawl.join(chosen.select("page_id"), "page_id", "left_semi")
 
 
 def audit_sites(
@@ -92,10 +91,12 @@ def audit_sites(
     files: DataFrame | None = None,
     rendered: DataFrame | None = None,
     rules: Sequence[Rule] = RULES,
+    files_for: Sequence[str] = (),
 ) -> DataFrame:
     """Audit the discovered pages of every seed and write the site reports.
 
-    A site is an origin, so there is one seed per origin. Returns the run summary.
+    A site is an origin, so there is one seed per origin. The origins in ``files_for`` get their
+    document as text files too. Returns the run summary.
     """
     prepare(spark)
     run_date = run_ts[:10]
@@ -118,11 +119,20 @@ def audit_sites(
         "site_patterns_ranked": patterns.site_patterns_ranked(issues),
         "pattern_urls": patterns.pattern_urls(site_report.finding_rows(), rules),
         "severity_counts": report.severity_counts(rows, report.SITE),
+        "summaries": report.executive_summary(rows, report.SITE),
+        "priorities": report.priority_matrix(rows, report.SITE),
+        "fix_plans": report.fix_plan(rows, report.SITE),
+        "quick_wins": report.quick_wins(rows, report.SITE),
         "action_plans": report.action_plan(rows, report.SITE),
+        "affected_examples": report.affected_example_rows(site_report.examples(issues)),
+        "pages_audited": report.pages_audited(pages),
         "notes": site_report.notes(),
     }
     for name, result in results.items():
         write_table(result, out, name, run_date)
     documents = site_report.markdown(run_ts, issues)
     write_site_markdown(documents, f"{out}/site_markdown/run_date={run_date}")
+    if files_for:
+        written = spark.read.parquet(f"{out}/site_markdown/run_date={run_date}")
+        write_site_files(written, f"{out}/site_files/run_date={run_date}", files_for)
     return _stage(spark, report.run_summary(pages), out, "run_summary", run_date)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +14,34 @@ def write_table(table: DataFrame, folder: str, name: str, run_date: str) -> None
 
 
 def write_site_markdown(parts: DataFrame, folder: str) -> None:
-    """One folder per site, one text file in it: the parts of its document in order.
+    """The parts of all documents as a table, sorted by origin and part.
+
+    Ranges of both split a large site over several tasks and files. A document is read back by its
+    origin, which the files' statistics find, in the order of its parts.
+    """
+    (
+        parts.select("origin", "part", "markdown")
+        .repartitionByRange("origin", "part")
+        .sortWithinPartitions("origin", "part")
+        .write.mode("overwrite")
+        .parquet(folder)
+    )
+
+
+def site_folder(origin: str) -> str:
+    """A folder name for an origin; the checksum tells apart origins that read the same."""
+    return f"concat(regexp_replace({origin}, '[^A-Za-z0-9.-]+', '_'), '-', lower(hex(crc32(CAST({origin} AS BINARY)))))"
+
+
+def write_site_files(parts: DataFrame, folder: str, sites: Sequence[str]) -> None:
+    """A folder with text files for each of the named ``sites``, for people to read.
 
-    The parts of a site meet in one task, which streams them sorted and holds none back.
+    Meant for a short list. The files of a site hold its parts in order, file by file.
     """
-    site = F.regexp_replace("origin", r"[^A-Za-z0-9.\-]+", "_").alias("site")
-    lines = parts.select(site, "origin", "part", F.regexp_replace("markdown", r"\n\z", "").alias("value"))
     (
-        lines.repartition("origin")
+        parts.where(F.col("origin").isin(list(sites)))
+        .selectExpr(f"{site_folder('origin')} AS site", "origin", "part", "regexp_replace(markdown, '\\\\n\\\\z', '') AS value")
+        .repartitionByRange("origin", "part")
         .sortWithinPartitions("site", "origin", "part")
         .select("site", "value")
         .write.mode("overwrite")
