@@ -529,6 +529,15 @@ FROM (SELECT page_id, raw_url, text, scheme, regexp_extract(auth, '^(.*@)', 1) A
                   FROM url_spellings) AS a) AS b) AS c
 """,
     "url_templates": "SELECT page_id, origin, url, template FROM site_docs",
+    "run_comparison": """
+SELECT coalesce(a.url, b.url) AS url, coalesce(a.rule_id, b.rule_id) AS rule_id, coalesce(a.area, b.area) AS area,
+  coalesce(a.severity, b.severity) AS severity,
+  CASE WHEN a.url IS NOT NULL AND b.url IS NOT NULL THEN 'open'
+       WHEN a.url IS NOT NULL THEN CASE WHEN a.url IN (SELECT url FROM site_audit) THEN 'resolved' ELSE 'not_audited' END
+       ELSE CASE WHEN b.url IN (SELECT url FROM audit) THEN 'new' ELSE 'first_audit' END END AS status
+FROM (SELECT DISTINCT url, rule_id, area, severity FROM findings) AS a
+FULL JOIN (SELECT DISTINCT url, rule_id, area, severity FROM site_findings) AS b ON a.url = b.url AND a.rule_id = b.rule_id
+""",
     "findings_all": f"SELECT page_id, origin, url, rule_id, area, severity, effort, title, evidence FROM findings",
     "findings_ranked": f"SELECT {_FINDING} FROM findings",
     **{f"findings_{area.replace('-', '_')}": _by_area(area) for area in dict.fromkeys(r.area for r in RULES)},
