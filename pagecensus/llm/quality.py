@@ -26,7 +26,9 @@ SAMPLE_DOCS = 20_000
 MAX_FEATURES = 20_000
 # A feature counts if its share differs between good and bad documents by so many standard errors.
 LEAST_Z = 6.0
-LEAST_DOCS = 12
+LEAST_DOCS = 10
+# Longer words also count by so many bytes of their beginning.
+STEM_BYTES = 5
 SMOOTHING = 0.5
 # Reject a document if it is less likely good than this.
 THRESHOLD = 0.5
@@ -71,8 +73,13 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         starts, ends = word_spans(joined)
         doc = np.searchsorted(np.cumsum([len(t) + 1 for t in some]), starts, side="right")
         if len(starts):
-            hashes.append(span_hashes(prefix_hashes(np.frombuffer(joined, dtype=np.uint8)), starts, ends))
+            prefix = prefix_hashes(np.frombuffer(joined, dtype=np.uint8))
+            hashes.append(span_hashes(prefix, starts, ends))
             owners.append(doc + begin)
+            # Compounds and inflections of a rare word have its beginning in common.
+            long = ends - starts > STEM_BYTES
+            hashes.append(mixed(span_hashes(prefix, starts[long], starts[long] + STEM_BYTES) + np.uint64(1)))
+            owners.append(doc[long] + begin)
     forms = _forms(texts)
     hashes.append(forms.ravel())
     owners.append(np.repeat(np.arange(len(texts)), forms.shape[1] if len(texts) else 1))
