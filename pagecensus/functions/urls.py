@@ -30,6 +30,13 @@ def _percent_encode(text: str, table: dict[str, str]) -> str:
     )
 
 
+def _plain_dots(path: str) -> str:
+    """Write the dots of ``.`` and ``..`` segments plainly; they may be percent-encoded."""
+    two = f"regexp_replace({path}, {pattern(r'(?i)/(?:[.]|%2e){2}(?=/|$)')}, '/..')"
+    one = f"regexp_replace({two}, {pattern(r'(?i)/(?:[.]|%2e)(?=/|$)')}, '/.')"
+    return f"CASE WHEN {path} RLIKE '(?i)/[.]?%2e' THEN {one} ELSE {path} END"
+
+
 def _without_dots(path: str) -> str:
     """Resolve ``.`` and ``..`` path segments."""
     walked = (
@@ -71,7 +78,7 @@ _PORT_NUMBER = "try_cast(p.port AS INT)"
 _PORT = f"""CASE WHEN p.port = '' OR (p.scheme = 'http' AND {_PORT_NUMBER} = 80) OR (p.scheme = 'https' AND {_PORT_NUMBER} = 443)
   THEN '' ELSE concat(':', {_PORT_NUMBER}) END"""
 _ORIGIN = f"concat(p.scheme, '://', p.host, {_PORT})"
-_PATH = f"CASE WHEN p.path = '' THEN '/' ELSE {bind(_percent_encode('p.path', _ENCODE_PATH), 'd', _without_dots)} END"
+_PATH = f"CASE WHEN p.path = '' THEN '/' ELSE {bind(_percent_encode('p.path', _ENCODE_PATH), 'e', lambda e: bind(_plain_dots(e), 'd', _without_dots))} END"
 _URL = f"""concat(p.scheme, '://', p.userinfo, p.host, {_PORT}, {_PATH},
   {_percent_encode('p.query', _ENCODE_QUERY)}, {_percent_encode('p.fragment', _ENCODE_FRAGMENT)})"""
 _ASSEMBLED = f"""CASE
@@ -80,9 +87,16 @@ _ASSEMBLED = f"""CASE
   WHEN p.scheme NOT IN ('', 'http', 'https') THEN named_struct('url', p.text, 'origin', 'null', 'path', '') END"""
 
 
+# Addresses that are in normal form already: plain host, no port, no query, no dot segments.
+_NORMAL = pattern(r"^https?://[a-z0-9][a-z0-9.-]*/(?!.*/(?:[.]|%2[eE]))(?![.]|%2[eE])[A-Za-z0-9._~!$&\x27()*+,;=:@/%-]*\z")
+
+
 def parse_url(url: str) -> str:
     """``struct<url, origin, path>`` of an absolute URL, null when it is not one."""
-    return bind(_split(url), "u", bind(_PIECES, "p", _ASSEMBLED))
+    origin = f"substring_index({url}, '/', 3)"
+    as_it_is = f"named_struct('url', {url}, 'origin', {origin}, 'path', substring({url}, length({origin}) + 1))"
+    parsed = bind(_split(url), "u", bind(_PIECES, "p", _ASSEMBLED))
+    return f"CASE WHEN {url} RLIKE {_NORMAL} THEN {as_it_is} ELSE {parsed} END"
 
 
 def parse_or_assume_https(url: str) -> str:
