@@ -84,6 +84,45 @@ def queries() -> dict[str, Query]:
     }
 
 
+# Sets of shingles, pairs that share enough of them, and what can be reached through pairs.
+OP3_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' '))) END AS s FROM split),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items AS a JOIN items AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach AS r JOIN links AS l ON l.x = r.y)
+SELECT s.doc_id, len(s.s) AS n_shingles, m.component_id
+FROM sets AS s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) AS m ON m.x = s.doc_id
+"""
+
+# Words in order, runs of 13 words, the first document of each, and the words such runs cover.
+OP10_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents) AS split),
+windows AS (
+  SELECT *, CASE WHEN count(*) OVER ahead = 13 THEN string_agg(word, ' ') OVER ahead END AS run FROM words
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+judged AS (
+  SELECT doc_id, word, i, run IS NOT NULL AND min(doc_id) OVER (PARTITION BY run) < doc_id AS later FROM windows),
+covered AS (
+  SELECT doc_id, word, i, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM judged),
+steps AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM covered)
+SELECT d.doc_id, count(s.i) AS n_words, CAST(count(*) FILTER (s.gone) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(s.word, ' ' ORDER BY s.i) FILTER (NOT s.gone), '')) AS kept_sha256,
+  count(*) FILTER (s.opens) AS n_spans
+FROM documents AS d LEFT JOIN steps AS s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for the queries that SQL can express on whole tables."""
-    return {}
+    """DuckDB SQL for the queries that SQL can express on whole tables in reasonable time."""
+    return {"op3_jaccard_join": OP3_SQL, "op10_debruijn": OP10_SQL}
