@@ -15,6 +15,10 @@ from pagecensus.llm import jaccard, packing, pii, quality, suffixes
 from pagecensus.llm.common import load, prepare, stage
 
 
+# Passages of over 50 words must not repeat.
+PASSAGE_WORDS = 51
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """The documents with the length of their text after a stage changed it."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -32,9 +36,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that start anywhere else too."""
+    """Texts without strings of 400 bytes, or passages of 51 words of any length, that stand anywhere else too.
+
+    51 words are 101 bytes at least and mostly below 400, so they are counted as words, not as bytes: cutting
+    all repeats of 101 bytes would take shorter passages as well.
+    """
     prepare(spark)
-    return _counted(suffixes.without_repeats(docs))
+    return _counted(suffixes.without_repeats(docs, min_words=PASSAGE_WORDS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ have their anchors at the same place, and the occurrences of a repeat meet at th
    go on alike is not maximal there. The scan gives all occurrences, not only neighbours in the array.
 3. The answers tell each occurrence how far it is repeated, or the groups it belongs to.
 
+Passages of a number of words (``min_words``) are found by hashes: windows of so many words have an anchor
+among their word k-grams, and windows whose anchor occurs twice go to the buckets as hashes in steps 2 and 3.
+
 Contexts that a chunk holds several times are sent once, and equal ones from several chunks are one
 suffix of the array, so large groups of copies are small here.
 """
@@ -22,6 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,11 +34,14 @@ from pagecensus.llm.buckets import (
     ANSWER, ANSWER_KINDS, CHUNK_DOCS, SENT, SENT_KINDS, Hashed, answer_repeated, arrow_table, chunked,
     on_answers, on_chunks, text_groups,
 )
-from pagecensus.llm.common import mixed, prefix_hashes, span_hashes, utf8
+from pagecensus.llm.common import mixed, prefix_hashes, run_hashes, span_hashes, utf8, word_spans
 
 MIN_BYTES = 400
 # A window's anchor is a k-gram of about a third of it.
 GRAM_SHARE = 0.32
+WORD_GRAM_SHARE = 0.4
+# In the column ``left``: a row of window hashes, not of contexts.
+_WINDOWS = b"w"
 _PLACE_BITS = np.uint64(24)
 _SEGMENT = 1 << 22
 # Not a byte of UTF-8, also not of lone surrogates.
@@ -82,7 +89,7 @@ def _anchors(data: np.ndarray, ends: np.ndarray, size: int, gram: int) -> tuple[
 class Chunk(Hashed):
     """The anchors of a chunk's documents and the text around them."""
 
-    def __init__(self, texts: list[bytes], size: int, gram: int, bits: int):
+    def __init__(self, texts: list[bytes], size: int, gram: int, bits: int, words: int = 0):
         self.texts = texts
         self.bounds = np.cumsum([0, *(len(t) for t in texts)])
         places, hashes, firsts, lasts = [], [], [], []
@@ -102,14 +109,46 @@ class Chunk(Hashed):
         )
         self.hash = np.concatenate(hashes) if hashes else empty.astype(np.uint64)
         self.size = size
+        # Byte anchors come first, then the word k-grams that are an anchor.
+        self.anchors = len(self.hash)
+        if words:
+            self._passages(words)
         self.window_first, self.window_last = self.first_start, self.last_start
         self.distinct(bits)
         # Twice in the chunk is repeated: the same document counts too.
         self.repeated = self.first != self.last
 
+    def _passages(self, words: int) -> None:
+        """The windows of ``words`` words with their anchors, and the anchors' occurrences as items."""
+        gram = max(1, round(words * WORD_GRAM_SHARE))
+        items, parts = [self.hash], []
+        for base, text in zip(self.bounds.tolist(), self.texts, strict=False):
+            starts, ends = word_spans(text)
+            if len(starts) < words:
+                continue
+            own = span_hashes(prefix_hashes(np.frombuffer(text, dtype=np.uint8)), starts, ends)
+            grams = run_hashes(own, gram)
+            least = _sliding_minimum(grams, words - gram + 1)
+            items.append(mixed(grams[np.isin(grams, np.unique(least))]))
+            parts.append((mixed(least), run_hashes(own, words), starts[: len(least)] + base, ends[words - 1 :] + base))
+        self.hash = np.concatenate(items)
+        kinds = (np.uint64, np.uint64, np.int64, np.int64)
+        columns = zip(*parts, strict=True) if parts else ([np.empty(0, dtype=k)] for k in kinds)
+        self.passage_anchor, self.passage_hash, self.passage_start, self.passage_stop = map(np.concatenate, columns)
+
+    def windows(self, bits: int) -> Windows:
+        """Windows that are compared as hashes: passages with a repeated anchor."""
+        repeated = np.zeros(0, dtype=np.uint64)
+        starts, stops, hashes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), repeated
+        if hasattr(self, "passage_hash"):
+            items = np.unique(self.hash[self.anchors :][self.repeated[self.of[self.anchors :]]])
+            on = np.isin(self.passage_anchor, items)
+            starts, stops, hashes = self.passage_start[on], self.passage_stop[on], self.passage_hash[on]
+        return Windows(starts, stops, hashes, bits)
+
     def contexts(self) -> None:
         """Distinct texts around repeated anchors, ordered by hash, left and right side."""
-        on = np.flatnonzero(self.repeated[self.of]) if len(self.of) else np.empty(0, dtype=np.int64)
+        on = np.flatnonzero(self.repeated[self.of[: self.anchors]])
         joined = b"".join(self.texts)
         self.occurrence = on
         index: dict[tuple[int, bytes, bytes], list[int]] = {}
@@ -130,23 +169,32 @@ class Chunk(Hashed):
         self.context_cuts = np.searchsorted(bucket, np.arange(2**bits + 1, dtype=np.uint64))
 
 
-def _of_table(docs: pa.Table, size: int, gram: int, bits: int) -> Chunk:
-    return Chunk([utf8(t) for t in docs.column("text").to_pylist()], size, gram, bits)
+class Windows(Hashed):
+    """Windows of a chunk by their hashes; twice in the chunk is repeated."""
+
+    def __init__(self, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray, bits: int):
+        self.starts, self.stops, self.hash = starts, stops, hashes
+        self.distinct(bits)
+        self.repeated = self.first != self.last
+
+
+def _of_table(docs: pa.Table, size: int, gram: int, bits: int, words: int) -> Chunk:
+    return Chunk([utf8(t) for t in docs.column("text").to_pylist()], size, gram, bits, words)
 
 
-def _send_anchors(docs: pa.Table, size: int, gram: int, bits: int) -> pa.Table:
-    chunk = _of_table(docs, size, gram, bits)
+def _send_anchors(docs: pa.Table, size: int, gram: int, bits: int, words: int) -> pa.Table:
+    chunk = _of_table(docs, size, gram, bits, words)
     return arrow_table(chunk.sent_rows(docs.column("chunk")[0].as_py()), SENT_KINDS, SENT)
 
 
 _HEAD = np.dtype([("hash", "<u8"), ("many", "u1"), ("left", "<u4"), ("right", "<u4")])
 
 
-def _send_contexts(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int) -> pa.Table:
+def _send_contexts(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int, words: int) -> pa.Table:
     listed = answers.to_pylist()
     if not listed or not docs.num_rows:
         return arrow_table([], SENT_KINDS, SENT)
-    chunk = _of_table(docs, size, gram, bits)
+    chunk = _of_table(docs, size, gram, bits, words)
     chunk.take_flags(listed)
     chunk.contexts()
     flags = {a["bucket"]: a["flags"] for a in listed}
@@ -163,6 +211,8 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits
         head["right"] = [len(c[2]) for c in some]
         text = b"".join([part for c in some for part in c[1:]])
         rows.append((listed[0]["chunk"], b, flags.get(b), None, None, head.tobytes(), text))
+    sent = chunk.windows(bits).sent_rows(listed[0]["chunk"])
+    rows += [(number, b, repeated, _WINDOWS, None, keys, None) for number, b, repeated, _, _, keys, _ in sent]
     return arrow_table(rows, SENT_KINDS, SENT)
 
 
@@ -350,13 +400,14 @@ def _answer_groups(rows: pa.Table, size: int) -> pa.Table:
 _REMOVED = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept binary"
 
 
-def _removed(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int) -> pa.Table:
+def _removed(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int, words: int) -> pa.Table:
     texts = [utf8(t) for t in docs.column("text").to_pylist()]
     bounds = np.cumsum([0, *(len(t) for t in texts)])
     gone = np.zeros(int(bounds[-1]) + 1, dtype=np.int32)
     listed = sorted(answers.to_pylist(), key=lambda a: a["bucket"])
+    hashed, listed = [a for a in listed if a["left"]], [a for a in listed if not a["left"]]
     if listed:
-        chunk = Chunk(texts, size, gram, bits)
+        chunk = Chunk(texts, size, gram, bits, words)
         chunk.take_flags(listed)
         chunk.contexts()
         found = [np.frombuffer(a["firsts"], dtype=np.uint32) for a in listed if a["firsts"]]
@@ -366,6 +417,12 @@ def _removed(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int)
             place = chunk.place[chunk.occurrence[on]]
             np.add.at(gone, place - reach[on, 0], 1)
             np.add.at(gone, place + reach[on, 1], -1)
+        if hashed:
+            windows = chunk.windows(bits)
+            windows.take_flags(hashed)
+            on = windows.repeated[windows.of]
+            np.add.at(gone, windows.starts[on], 1)
+            np.add.at(gone, windows.stops[on], -1)
     covered = np.cumsum(gone[:-1]) > 0
     rows = []
     for i, (doc_id, text) in enumerate(zip(docs.column("doc_id").to_pylist(), texts, strict=True)):
@@ -388,12 +445,12 @@ def _removed(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int)
 GROUPS = "group_id long, length long, doc_id long, start long"
 
 
-def _group_rows(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int) -> pa.Table:
+def _group_rows(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int, words: int) -> pa.Table:
     listed = sorted(answers.to_pylist(), key=lambda a: a["bucket"])
     kinds = [pa.int64()] * 4
     if not listed or not docs.num_rows:
         return arrow_table([], kinds, GROUPS)
-    chunk = _of_table(docs, size, gram, bits)
+    chunk = _of_table(docs, size, gram, bits, words)
     chunk.take_flags(listed)
     chunk.contexts()
     ids = docs.column("doc_id").to_pylist()
@@ -411,20 +468,30 @@ def _group_rows(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: i
     return arrow_table(rows, kinds, GROUPS)
 
 
-def _answers(docs: DataFrame, min_bytes: int, chunk_docs: int, answer, id_col: str, text_col: str, carry=()):
+def _answer_windows(rows: pa.Table) -> pa.Table:
+    found = answer_repeated(rows)
+    marks = pa.array([_WINDOWS] * found.num_rows, pa.binary())
+    return found.set_column(found.schema.get_field_index("left"), "left", marks)
+
+
+def _answers(
+    docs: DataFrame, min_bytes: int, chunk_docs: int, answer, id_col: str, text_col: str, carry=(), min_words: int = 0
+):
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").alias("text"),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []),
     )
     by_chunk, bits = chunked(rows, chunk_docs)
-    own = {"size": min_bytes, "gram": max(1, round(min_bytes * GRAM_SHARE)), "bits": bits}
+    own = {"size": min_bytes, "gram": max(1, round(min_bytes * GRAM_SHARE)), "bits": bits, "words": min_words}
     anchors = by_chunk.applyInArrow(on_chunks(_send_anchors, own), SENT)
     repeated = anchors.groupBy("bucket").applyInArrow(answer_repeated, ANSWER)
     contexts = by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(on_answers(_send_contexts, own), SENT)
 
     def answered(rows: pa.Table) -> pa.Table:
-        return answer(rows, min_bytes)
+        hashed = rows.column("left").is_valid()
+        found = [answer(rows.filter(pc.invert(hashed)), min_bytes), _answer_windows(rows.filter(hashed))]
+        return pa.concat_tables(found)
 
     answers = contexts.groupBy("bucket").applyInArrow(answered, ANSWER)
     return by_chunk.cogroup(answers.groupBy("chunk")), own
@@ -437,16 +504,19 @@ def remove_repeats(
     text_col: str = "text",
     chunk_docs: int = CHUNK_DOCS,
     carry: Sequence[str] = (),
+    min_words: int = 0,
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept``: bytes in a string of ``min_bytes`` bytes that also
     starts elsewhere in the corpus, the same document included, are removed; all are judged on the input.
+    With ``min_words``, so are runs of that many words, from the first word's start to the last one's end,
+    whatever their length in bytes and the blanks between the words; they are compared by 64-bit hashes.
 
     ``spans`` are the maximal runs of removed bytes, ``kept`` the other bytes. Null and empty texts have
     no bytes. Null and repeated ids do no harm: rows are documents. Repeated rows are copies of one
     another. An empty table gives no rows. The columns named in ``carry`` come along in a struct ``row``,
     the others are ignored.
     """
-    grouped, own = _answers(docs, min_bytes, chunk_docs, _answer_coverage, id_col, text_col, carry)
+    grouped, own = _answers(docs, min_bytes, chunk_docs, _answer_coverage, id_col, text_col, carry, min_words)
     schema = StructType.fromDDL(_REMOVED)
     if carry:
         schema = schema.add("row", StructType([docs.schema[c] for c in carry]))
@@ -454,14 +524,19 @@ def remove_repeats(
 
 
 def without_repeats(
-    docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    min_bytes: int = MIN_BYTES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = 0,
 ) -> DataFrame:
     """The documents without the bytes that ``remove_repeats`` removes, all columns as they were.
 
     A character that is removed in part goes as a whole. A document of which nothing is left stays, with
     an empty text; a null text becomes empty.
     """
-    rows = remove_repeats(docs, min_bytes, id_col, text_col, carry=[c for c in docs.columns if c != text_col])
+    carry = [c for c in docs.columns if c != text_col]
+    rows = remove_repeats(docs, min_bytes, id_col, text_col, carry=carry, min_words=min_words)
     # A cut through a character leaves bytes that are no UTF-8.
     kept = F.col("kept").cast("string")
     whole = F.when(F.expr("is_valid_utf8(CAST(kept AS STRING))"), kept).otherwise(

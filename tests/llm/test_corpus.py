@@ -89,6 +89,36 @@ def test_documents_without_repeats_keep_columns(spark):
     assert len(rows[1].text) < 20 and rows[3].text == "short" and rows[4].text == "" and rows[2].row == "row"
 
 
+def test_pipeline_cuts_short_passages_of_51_words(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    passage, below = [word() for _ in range(51)], " ".join(word() for _ in range(50))
+    own = [[" ".join(word() for _ in range(60)) for _ in range(3)] for _ in range(2)]
+    assert 250 < len(" ".join(passage)) < 350
+    texts = [f"{a} {p} {b} {below} {c}" for (a, b, c), p in zip(own, (" ".join(passage), "\n".join(passage)), strict=True)]
+    docs = documents(spark, [*enumerate(texts), (2, " ".join(passage[:50])), (3, "a " * 50), (4, None)])
+    out = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    for i, (a, b, c) in enumerate(own):
+        assert out[i].split() == f"{a} {b} {below} {c}".split()
+    assert out[2] == " ".join(passage[:50]) and out[3] == "a " * 50 and out[4] == ""
+
+
+@pytest.mark.parametrize(("letters", "span"), [("ab", 9), ("abcde", 13)])
+def test_repeated_runs_of_words_match_definition(spark, letters, span):
+    texts = copies(6, 20, letters, [0, 5, 13, 60, 200])
+    found = suffixes.remove_repeats(documents(spark, list(enumerate(texts))), 5000, chunk_docs=9, min_words=span).collect()
+    split = [t.split() for t in texts]
+    runs = [tuple(w[i : i + span]) for w in split for i in range(len(w) - span + 1)]
+    often = {r for r in runs if runs.count(r) > 1}
+    for r in found:
+        words, gone = split[r.doc_id], set()
+        for i in range(len(words) - span + 1):
+            if tuple(words[i : i + span]) in often:
+                gone.update(range(i, i + span))
+        assert bytes(r.kept).decode().split() == [w for i, w in enumerate(words) if i not in gone]
+    assert often
+
+
 @pytest.mark.parametrize(("seed", "letters", "span"), [(3, "ab", 6), (4, "abcde", 13)])
 def test_debruijn_matches_brute_force(spark, seed, letters, span):
     rnd = random.Random(seed)
