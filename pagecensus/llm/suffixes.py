@@ -15,6 +15,11 @@ have their anchors at the same place, and the occurrences of a repeat meet at th
 Passages of a number of words (``min_words``) are found by hashes: windows of so many words have an anchor
 among their word k-grams, and windows whose anchor occurs twice go to the buckets as hashes in steps 2 and 3.
 
+An anchor with more than ``HOT_CONTEXTS`` occurrences, such as a footer in many documents with different text
+around it, has no suffixes: all windows with this anchor go to the buckets as hashes, spread by the windows'
+own hashes. So no bucket holds more than that many contexts of an anchor. ``repeat_groups`` needs the suffixes
+and takes all of them.
+
 Contexts that a chunk holds several times are sent once, and equal ones from several chunks are one
 suffix of the array, so large groups of copies are small here.
 """
@@ -31,8 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pagecensus.llm.buckets import (
-    ANSWER, ANSWER_KINDS, CHUNK_DOCS, SENT, SENT_KINDS, Hashed, answer_repeated, arrow_table, chunked,
-    on_answers, on_chunks, text_groups,
+    ANSWER, ANSWER_KINDS, CHUNK_DOCS, SENT, SENT_KINDS, Hashed, answer_repeated, arrow_table, bucket_rows,
+    chunked, from_six, on_answers, on_chunks, packed, text_groups, unpacked,
 )
 from pagecensus.llm.common import mixed, prefix_hashes, run_hashes, span_hashes, utf8, word_spans
 
@@ -40,6 +45,8 @@ MIN_BYTES = 400
 # A window's anchor is a k-gram of about a third of it.
 GRAM_SHARE = 0.32
 WORD_GRAM_SHARE = 0.4
+# Occurrences of an anchor, counted over all chunks, that are compared by their texts.
+HOT_CONTEXTS = 1024
 # In the column ``left``: a row of window hashes, not of contexts.
 _WINDOWS = b"w"
 _PLACE_BITS = np.uint64(24)
@@ -108,7 +115,7 @@ class Chunk(Hashed):
             np.concatenate(x) if x else empty for x in (places, firsts, lasts)
         )
         self.hash = np.concatenate(hashes) if hashes else empty.astype(np.uint64)
-        self.size = size
+        self.size, self.words = size, words
         # Byte anchors come first, then the word k-grams that are an anchor.
         self.anchors = len(self.hash)
         if words:
@@ -117,6 +124,20 @@ class Chunk(Hashed):
         self.distinct(bits)
         # Twice in the chunk is repeated: the same document counts too.
         self.repeated = self.first != self.last
+        self.hot = np.zeros(len(self.sent), dtype=bool)
+
+    def counted_rows(self, number: int) -> list[tuple]:
+        """The distinct anchors with the number of their occurrences, up to 65,535."""
+        counts = np.minimum(self.last - self.first + 1, 65_535).astype("<u2")
+        parts = zip(self.sent_rows(number), self.slices(), strict=True)
+        return [(*row[:-1], counts[s].tobytes()) for row, (_, s) in parts]
+
+    def take_flags(self, answers: list[dict]) -> None:
+        super().take_flags(answers)
+        for answer in answers:
+            own = slice(int(self.cuts[answer["bucket"]]), int(self.cuts[answer["bucket"] + 1]))
+            if answer["flags"] and answer["right"]:
+                self.hot[own] |= unpacked(answer["right"], own.stop - own.start)
 
     def _passages(self, words: int) -> None:
         """The windows of ``words`` words with their anchors, and the anchors' occurrences as items."""
@@ -137,18 +158,29 @@ class Chunk(Hashed):
         self.passage_anchor, self.passage_hash, self.passage_start, self.passage_stop = map(np.concatenate, columns)
 
     def windows(self, bits: int) -> Windows:
-        """Windows that are compared as hashes: passages with a repeated anchor."""
-        repeated = np.zeros(0, dtype=np.uint64)
-        starts, stops, hashes = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), repeated
-        if hasattr(self, "passage_hash"):
+        """Windows that are compared as hashes: those of hot anchors, and passages with a repeated anchor."""
+        on = np.flatnonzero(self.hot[self.of[: self.anchors]])
+        first, many = self.first_start[on], self.last_start[on] - self.first_start[on] + 1
+        ahead = np.repeat(np.cumsum(many) - many, many)
+        starts = np.sort(np.repeat(first, many) + np.arange(len(ahead)) - ahead)
+        hashes = [np.empty(0, dtype=np.uint64)]
+        for begin, some in text_groups(self.texts) if len(starts) else ():
+            low, high = np.searchsorted(starts, [self.bounds[begin], self.bounds[begin + len(some)]])
+            at = starts[low:high] - self.bounds[begin]
+            hashes.append(span_hashes(prefix_hashes(np.frombuffer(b"".join(some), dtype=np.uint8)), at, at + self.size))
+        stops = starts + self.size
+        if self.words:
             items = np.unique(self.hash[self.anchors :][self.repeated[self.of[self.anchors :]]])
             on = np.isin(self.passage_anchor, items)
-            starts, stops, hashes = self.passage_start[on], self.passage_stop[on], self.passage_hash[on]
-        return Windows(starts, stops, hashes, bits)
+            starts = np.concatenate([starts, self.passage_start[on]])
+            stops = np.concatenate([stops, self.passage_stop[on]])
+            hashes.append(self.passage_hash[on])
+        return Windows(starts, stops, np.concatenate(hashes), bits)
 
     def contexts(self) -> None:
         """Distinct texts around repeated anchors, ordered by hash, left and right side."""
-        on = np.flatnonzero(self.repeated[self.of[: self.anchors]])
+        of = self.of[: self.anchors]
+        on = np.flatnonzero(self.repeated[of] & ~self.hot[of])
         joined = b"".join(self.texts)
         self.occurrence = on
         index: dict[tuple[int, bytes, bytes], list[int]] = {}
@@ -184,7 +216,22 @@ def _of_table(docs: pa.Table, size: int, gram: int, bits: int, words: int) -> Ch
 
 def _send_anchors(docs: pa.Table, size: int, gram: int, bits: int, words: int) -> pa.Table:
     chunk = _of_table(docs, size, gram, bits, words)
-    return arrow_table(chunk.sent_rows(docs.column("chunk")[0].as_py()), SENT_KINDS, SENT)
+    return arrow_table(chunk.counted_rows(docs.column("chunk")[0].as_py()), SENT_KINDS, SENT)
+
+
+def _answer_anchors(rows: pa.Table, hot: int) -> pa.Table:
+    """As ``answer_repeated``; ``right`` tells which anchors occur more than ``hot`` times."""
+    listed, cuts = bucket_rows(rows, 6)
+    keys = from_six(b"".join(r["keys"] for r in listed))
+    counts = np.frombuffer(b"".join(r["values"] for r in listed), dtype="<u2").astype(np.int64)
+    _, of = np.unique(keys, return_inverse=True)
+    total = np.bincount(of, weights=counts)[of]
+    out = []
+    for i, row in enumerate(listed):
+        own = total[cuts[i] : cuts[i + 1]]
+        if (own > 1).any():
+            out.append((row["chunk"], row["bucket"], packed(own > 1), None, packed(own > hot), None))
+    return arrow_table(out, ANSWER_KINDS, ANSWER)
 
 
 _HEAD = np.dtype([("hash", "<u8"), ("many", "u1"), ("left", "<u4"), ("right", "<u4")])
@@ -198,6 +245,7 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits
     chunk.take_flags(listed)
     chunk.contexts()
     flags = {a["bucket"]: a["flags"] for a in listed}
+    hot = {a["bucket"]: a["right"] for a in listed}
     rows = []
     for b in range(2**bits):
         lo, hi = int(chunk.context_cuts[b]), int(chunk.context_cuts[b + 1])
@@ -210,7 +258,7 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits
         head["left"] = [len(c[1]) for c in some]
         head["right"] = [len(c[2]) for c in some]
         text = b"".join([part for c in some for part in c[1:]])
-        rows.append((listed[0]["chunk"], b, flags.get(b), None, None, head.tobytes(), text))
+        rows.append((listed[0]["chunk"], b, flags.get(b), None, hot.get(b), head.tobytes(), text))
     sent = chunk.windows(bits).sent_rows(listed[0]["chunk"])
     rows += [(number, b, repeated, _WINDOWS, None, keys, None) for number, b, repeated, _, _, keys, _ in sent]
     return arrow_table(rows, SENT_KINDS, SENT)
@@ -369,7 +417,7 @@ def _answer_coverage(rows: pa.Table, size: int) -> pa.Table:
     if array is not None:
         both = np.stack(array.coverage(size), axis=1).astype(np.uint32)[array.suffix_of]
     out = [
-        (r["chunk"], r["bucket"], r["flags"], None, None, both[cuts[i] : cuts[i + 1]].tobytes())
+        (r["chunk"], r["bucket"], r["flags"], None, r["right"], both[cuts[i] : cuts[i + 1]].tobytes())
         for i, r in enumerate(listed)
     ]
     return arrow_table(out, ANSWER_KINDS, ANSWER)
@@ -391,7 +439,7 @@ def _answer_groups(rows: pa.Table, size: int) -> pa.Table:
                     row = int(np.searchsorted(cuts, context, side="right")) - 1
                     members[row].append((context - int(cuts[row]), name, left, right))
     out = [
-        (r["chunk"], r["bucket"], r["flags"], None, None, np.array(m, dtype=_MEMBER).tobytes())
+        (r["chunk"], r["bucket"], r["flags"], None, r["right"], np.array(m, dtype=_MEMBER).tobytes())
         for r, m in zip(listed, members, strict=True)
     ]
     return arrow_table(out, ANSWER_KINDS, ANSWER)
@@ -475,7 +523,7 @@ def _answer_windows(rows: pa.Table) -> pa.Table:
 
 
 def _answers(
-    docs: DataFrame, min_bytes: int, chunk_docs: int, answer, id_col: str, text_col: str, carry=(), min_words: int = 0
+    docs: DataFrame, min_bytes: int, chunk_docs: int, answer, id_col: str, text_col: str, hot: int, carry=(), min_words=0
 ):
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
@@ -485,7 +533,7 @@ def _answers(
     by_chunk, bits = chunked(rows, chunk_docs)
     own = {"size": min_bytes, "gram": max(1, round(min_bytes * GRAM_SHARE)), "bits": bits, "words": min_words}
     anchors = by_chunk.applyInArrow(on_chunks(_send_anchors, own), SENT)
-    repeated = anchors.groupBy("bucket").applyInArrow(answer_repeated, ANSWER)
+    repeated = anchors.groupBy("bucket").applyInArrow(on_chunks(_answer_anchors, {"hot": hot}), ANSWER)
     contexts = by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(on_answers(_send_contexts, own), SENT)
 
     def answered(rows: pa.Table) -> pa.Table:
@@ -505,18 +553,20 @@ def remove_repeats(
     chunk_docs: int = CHUNK_DOCS,
     carry: Sequence[str] = (),
     min_words: int = 0,
+    hot_contexts: int = HOT_CONTEXTS,
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept``: bytes in a string of ``min_bytes`` bytes that also
     starts elsewhere in the corpus, the same document included, are removed; all are judged on the input.
     With ``min_words``, so are runs of that many words, from the first word's start to the last one's end,
-    whatever their length in bytes and the blanks between the words; they are compared by 64-bit hashes.
+    whatever their length in bytes and the blanks between the words; they are compared by 64-bit hashes, as are
+    the windows of an anchor that occurs more than ``hot_contexts`` times.
 
     ``spans`` are the maximal runs of removed bytes, ``kept`` the other bytes. Null and empty texts have
     no bytes. Null and repeated ids do no harm: rows are documents. Repeated rows are copies of one
     another. An empty table gives no rows. The columns named in ``carry`` come along in a struct ``row``,
     the others are ignored.
     """
-    grouped, own = _answers(docs, min_bytes, chunk_docs, _answer_coverage, id_col, text_col, carry, min_words)
+    grouped, own = _answers(docs, min_bytes, chunk_docs, _answer_coverage, id_col, text_col, hot_contexts, carry, min_words)
     schema = StructType.fromDDL(_REMOVED)
     if carry:
         schema = schema.add("row", StructType([docs.schema[c] for c in carry]))
@@ -556,9 +606,9 @@ def repeat_groups(
     """``group_id, length, doc_id, start``: the maximal repeats around each anchor, all occurrences.
 
     A repeat that is longer than the windows of one anchor appears once per anchor, each part in a group
-    of its own. Nulls, empty tables and repeated rows are treated as in ``remove_repeats``.
+    of its own. All contexts of an anchor meet in one task. Nulls, empty tables and repeated rows are treated as in ``remove_repeats``.
     """
-    grouped, own = _answers(docs, min_bytes, chunk_docs, _answer_groups, id_col, text_col)
+    grouped, own = _answers(docs, min_bytes, chunk_docs, _answer_groups, id_col, text_col, 2**62)
     return grouped.applyInArrow(on_answers(_group_rows, own), GROUPS)
 
 

@@ -6,6 +6,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +66,36 @@ def test_suffix_repeats_match_brute_force(spark, seed, letters, size):
     }
 
 
+@pytest.mark.parametrize("hot", [1, 4])
+def test_suffix_repeats_of_hot_anchors_match_brute_force(spark, hot):
+    texts = [*copies(1, 25, "abcdé", [0, 3, 20, 90]), "a" * 90, "a" * 31, None]
+    docs = documents(spark, list(enumerate(texts)))
+    found = suffixes.remove_repeats(docs, 30, chunk_docs=9, hot_contexts=hot, min_words=40).collect()
+    plain = suffixes.remove_repeats(docs, 30, chunk_docs=9, min_words=40).collect()
+    assert {r.doc_id: r.kept for r in found} == {r.doc_id: r.kept for r in plain}
+    alone = suffixes.remove_repeats(docs, 30, chunk_docs=9, hot_contexts=hot).collect()
+    assert {r.doc_id: bytes(r.kept) for r in alone} == {i: w[3] for i, w in enumerate(suffixes.brute_force(texts, 30))}
+
+
+def test_contexts_of_a_hot_anchor_are_not_sent_to_one_bucket():
+    rnd = random.Random(4)
+    other = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(400))
+    footer = "".join(rnd.choice("ABCDEFGH ") for _ in range(300))
+    texts = [f"{other()}{footer}{other()}" for _ in range(1500)]
+    own = {"size": 400, "gram": 128, "bits": 3, "words": 0}
+    tables = [
+        pa.table({"doc_id": range(i, i + 500), "text": texts[i : i + 500], "chunk": pa.array([i // 500] * 500, pa.int32())})
+        for i in (0, 500, 1000)
+    ]
+    anchors = pa.concat_tables([suffixes._send_anchors(t, **own) for t in tables])
+    buckets = [anchors.filter(pc.equal(anchors.column("bucket"), b)) for b in range(8)]
+    answers = pa.concat_tables([suffixes._answer_anchors(b, suffixes.HOT_CONTEXTS) for b in buckets])
+    sent = [suffixes._send_contexts(t, answers.filter(pc.equal(answers.column("chunk"), i)), **own) for i, t in enumerate(tables)]
+    rows = [r for r in pa.concat_tables(sent).to_pylist() if r["values"] is not None]
+    contexts = np.bincount([r["bucket"] for r in rows], [len(r["keys"]) // suffixes._HEAD.itemsize for r in rows])
+    assert contexts.max(initial=0) <= suffixes.HOT_CONTEXTS
+
+
 def test_repeat_groups_have_all_occurrences(spark):
     texts = copies(5, 15, "abc", [40, 60])
     rows = suffixes.repeat_groups(documents(spark, list(enumerate(texts))), 30, chunk_docs=9).collect()
