@@ -3,8 +3,8 @@
 Each tree splits the vectors of a label at the median of their projection on a random direction, again
 and again until the parts are small. Vectors close to a cut go to both sides (spill), so that few close
 pairs are torn apart, and hardly any in all trees. The vectors of a leaf are compared exactly. A part
-that random cuts do not take apart, such as a dense cluster, stays a leaf of any size; large leaves are
-compared by pairs of blocks, each a task. A pair that meets in several leaves counts in the first only.
+that random cuts do not take apart, such as a dense cluster, stays a leaf of any size, and no task holds it
+whole; large leaves are compared by pairs of blocks, each a task. A pair that meets in several leaves counts in the first only.
 Equal vectors are one vector with a weight.
 """
 
@@ -79,6 +79,17 @@ def _leaf_rows(rows: pa.Table, least: float, leaf_size: int) -> pa.Table:
     return pa.table([pa.array(np.concatenate(found_keys)), pa.array(np.concatenate(found_leaves))], names=["key", "leaf"])
 
 
+def _leaves(cells: DataFrame, least: float, leaf_size: int) -> DataFrame:
+    """``key, leaf``: cells are split further in a task; those that ``_cells`` marked as done are leaves already."""
+
+    def leaf_rows(rows: pa.Table) -> pa.Table:
+        return _leaf_rows(rows, least, leaf_size)
+
+    done = F.endswith("cell", F.lit("."))
+    split = cells.where(~done).groupBy("cell").applyInArrow(leaf_rows, "key long, leaf long")
+    return split.union(cells.where(done).select("key", F.xxhash64("cell").alias("leaf")))
+
+
 def _cells(vectors: DataFrame, trees: int, least: float, cell_size: int) -> DataFrame:
     """``key, cell, vector`` for each tree; cells larger than ``cell_size`` are cut by Spark."""
     group = "concat_ws('/', label, size(vector))"
@@ -231,10 +242,7 @@ def near_duplicates(
     )
     cells = _cells(distinct.select("key", "label", "vector"), trees, least, cell_size)
 
-    def leaf_rows(rows: pa.Table) -> pa.Table:
-        return _leaf_rows(rows, least, leaf_size)
-
-    leaves = stage(cells.groupBy("cell").applyInArrow(leaf_rows, "key long, leaf long"), "forest-leaves")
+    leaves = stage(_leaves(cells, least, leaf_size), "forest-leaves")
     sizes = leaves.groupBy("leaf").agg(F.expr(f"CAST(ceil(count(*) / {block}) AS INT) AS blocks")).where("blocks >= 1")
     own = leaves.groupBy("key").agg(F.expr("array_sort(collect_set(leaf)) AS leaves"))
     # A vector goes to every pair of blocks of its leaf that holds its own block.

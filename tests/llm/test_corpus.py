@@ -211,6 +211,23 @@ def test_forest_finds_links(spark, sizes):
     assert found[401].n_links == found[402].n_links == found[403].n_links == found[404].n_links == 0
 
 
+def test_forest_keeps_a_dense_cluster_out_of_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(16)
+    rows = [(i, (base + 0.005 * rng.standard_normal(16)).tolist(), 0) for i in range(300)]
+    rows += [(300 + i, rng.standard_normal(16).tolist(), 1) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    split = forest._leaf_rows
+
+    def of_small_cells(rows, least, leaf_size):
+        assert rows.num_rows <= 100
+        return split(rows, least, leaf_size)
+
+    monkeypatch.setattr(forest, "_leaf_rows", of_small_cells)
+    found = forest.near_duplicates(vectors, cell_size=100, block=50).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == forest.brute_force(rows)
+
+
 # ---- tokens -----------------------------------------------------------------------------------
 
 
