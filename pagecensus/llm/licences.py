@@ -1,6 +1,8 @@
 """Licence scan: texts compared with licence templates by the Dice coefficient of their word bigrams.
 
-A text is looked at as a whole and by paragraphs, lines and sentences. Two sets of bigrams of sizes a and
+A text is looked at as a whole, by paragraphs, lines and sentences, and by windows of words: for each template
+the best windows are found from where its bigrams occur, so notices are also seen in comment blocks, across
+lines and amid other text. Marks such as ``#`` or ``*`` at the beginning of lines part words only. Two sets of bigrams of sizes a and
 b have a coefficient of at most 2 * min(a, b) / (a + b), so a part is compared only with the templates
 whose size is within that bound, and only if it holds a bigram of any template at all. Both are exact.
 """
@@ -9,6 +11,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +80,35 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+# Full texts, as Debian ships them; their names say the version only, "or later" is said in notices.
+_TEXTS = Path(__file__).parent / "licence_texts"
+_MORE_TEXTS: tuple[tuple[str, str], ...] = (
+    (
+        "MIT",
+        TEMPLATES[2][1] + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+        "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        TEMPLATES[9][1] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO "
+        "THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR "
+        "BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING "
+        "FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+)
+
+
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """The full licence texts as templates."""
+    files = sorted(_TEXTS.glob("*.txt"))
+    return (*((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files), *_MORE_TEXTS)
+
+
 # Normal form: lower case ASCII letters, digits and letters beyond ASCII; other signs part words.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() or b in (9, 10, 11, 12, 13) else 32 for b in range(256)
@@ -134,29 +167,67 @@ class Scanner:
         )
         self.sizes = np.array([len(t) for _, t in self.templates])
         self.any = np.unique(np.concatenate([t for _, t in self.templates]))
-        self.holds = np.stack([np.isin(self.any, t) for _, t in self.templates], axis=1).astype(np.int32)
+        self.holds = np.stack([np.isin(self.any, t) for _, t in self.templates], axis=1)
         # 2 * s / (a + b) reaches the least coefficient with a >= s only if s is this much of b.
         self.needed = np.ceil(self.sizes * least / (2 - least) - 1e-9)
 
-    def touched(self, texts: list[bytes]) -> np.ndarray:
-        """Which texts hold enough of a template's bigrams for some part of them to match it."""
-        out = np.zeros(len(texts), dtype=bool)
+    def candidates(self, texts: list[bytes]) -> np.ndarray:
+        """Which templates each text holds enough bigrams of for some part of it to match them."""
+        out = np.zeros((len(texts), len(self.templates)), dtype=bool)
         for begin, some in text_groups(texts):
             joined = b"\n".join(some)
             starts, _ = word_spans(joined.translate(_FOLD))
             doc = np.searchsorted(np.cumsum([len(t) + 1 for t in some]), starts, side="right")
             words = _hashes(joined)
-            held = np.zeros((len(some), len(self.any)), dtype=bool)
+            held = []
             for hashes in (window_hashes(words, 2), window_hashes(words, 1)):
                 at = np.minimum(np.searchsorted(self.any, hashes), len(self.any) - 1)
                 on = self.any[at] == hashes
-                held[doc[: len(hashes)][on], at[on]] = True
-            shared = held.astype(np.int32) @ self.holds
-            out[begin : begin + len(some)] = (shared >= self.needed).any(axis=1)
+                held.append(doc[: len(hashes)][on] * len(self.any) + at[on])
+            holder, bigram = np.divmod(np.unique(np.concatenate(held)), len(self.any))
+            for t, needed in enumerate(self.needed.tolist()):
+                shared = np.bincount(holder[self.holds[bigram, t]], minlength=len(some))
+                out[begin : begin + len(some), t] = shared >= needed
         return out
 
-    def scan(self, text: bytes) -> list[tuple[str, str, int, int, float]]:
-        """``(licence, kind of part, start, length, coefficient)`` of all parts that match a template."""
+    def windows(self, text: bytes, candidates: list[int]) -> list[tuple[str, str, int, int, float]]:
+        """The windows of words that match a template best, those of one template apart from each other."""
+        starts, ends = word_spans(text.translate(_FOLD))
+        grams = window_hashes(_hashes(text), 2)
+        order = np.argsort(grams, kind="stable")
+        before = np.full(len(grams), -1, dtype=np.int64)  # where the same bigram stood last
+        same = grams[order[1:]] == grams[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        found = []
+        for name, template in (self.templates[t] for t in candidates):
+            hit = np.isin(grams, template)
+            most = int(len(template) * (2 - self.least) / self.least + 1e-9)
+            best = []
+            # A bigram of the template more never lowers the coefficient: windows begin with a run of them.
+            for i in np.flatnonzero(hit & ~np.append(False, hit[:-1])).tolist():
+                stop = i + 2 * most
+                while True:
+                    new = before[i:stop] < i
+                    own = np.cumsum(new)
+                    if stop >= len(grams) or own[-1] > most:
+                        break
+                    stop += stop - i
+                value = 2 * np.cumsum(new & hit[i:stop]) / (own + len(template))
+                last = int(value.argmax())
+                if value[last] >= self.least:
+                    best.append((-float(value[last]), i, i + last))
+            taken: list[tuple[int, int]] = []
+            for value, i, last in sorted(best):
+                if all(last < first or i > stop for first, stop in taken):
+                    taken.append((i, last))
+                    found.append((name, "window", int(starts[i]), int(ends[last + 1] - starts[i]), -value))
+        return found
+
+    def scan(self, text: bytes, candidates: list[int]) -> list[tuple[str, str, int, int, float]]:
+        """``(licence, kind of part, start, length, coefficient)`` of all parts that match a template.
+
+        A window is left out if half of it lies in a match of the same licence, or in a better or equal one.
+        """
         found = []
         for kind, start, part in parts(text):
             own = bigrams(part)
@@ -168,6 +239,13 @@ class Scanner:
                 value = dice(own, template)
                 if value >= self.least:
                     found.append((name, kind, start, len(part), value))
+        for window in sorted(self.windows(text, candidates), key=lambda w: (-w[4], -w[3], w[2])):
+            name, _, start, length, value = window
+            if not any(
+                2 * (min(start + length, s + n) - max(start, s)) >= length and (other == name or v >= value)
+                for other, _, s, n, v in found
+            ):
+                found.append(window)
         return found
 
 
@@ -181,8 +259,11 @@ def _scanned(templates: tuple[tuple[str, str], ...], least: float):
         for batch in batches:
             texts = [utf8(t) for t in batch.column(1).to_pylist()]
             ids = batch.column(0).to_pylist()
+            candidates = scanner.candidates(texts)
             rows = [
-                (ids[i], *match) for i in np.flatnonzero(scanner.touched(texts)).tolist() for match in scanner.scan(texts[i])
+                (ids[i], *match)
+                for i in np.flatnonzero(candidates.any(axis=1)).tolist()
+                for match in scanner.scan(texts[i], np.flatnonzero(candidates[i]).tolist())
             ]
             if rows:
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)]
@@ -193,19 +274,20 @@ def _scanned(templates: tuple[tuple[str, str], ...], least: float):
 
 def scan(
     docs: DataFrame,
-    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    templates: tuple[tuple[str, str], ...] | None = None,
     least: float = LEAST_DICE,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, licence, part, start, length, dice``: parts of texts that are like a template.
 
+    Without ``templates`` these are the notices of ``TEMPLATES`` and the full texts.
     ``start`` and ``length`` are bytes of UTF-8. A part that is like several templates gives a row for
     each. Null and empty texts match nothing; null ids and repeated rows are scanned as they come; an
     empty table gives no rows; other columns are ignored.
     """
     rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text")
-    return arrow_map(rows, _scanned(tuple(templates), least), MATCHES)
+    return arrow_map(rows, _scanned(TEMPLATES + full_texts() if templates is None else tuple(templates), least), MATCHES)
 
 
 def licences(matches: DataFrame) -> DataFrame:

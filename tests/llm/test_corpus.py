@@ -307,6 +307,37 @@ def test_licence_scan_matches_brute_force(spark):
     assert licences.licences(licences.scan(documents(spark, rows))).count() >= len(notices)
 
 
+def test_licence_scan_finds_wrapped_and_embedded_notices(spark):
+    def wrapped(text, mark, width=9):
+        words = text.split()
+        return "\n".join(f"{mark} {' '.join(words[i : i + width])}" for i in range(0, len(words), width))
+
+    named = {name: text for name, text in licences.TEMPLATES if len(text) > 100}
+    gpl = (
+        named["GPL-3.0-or-later"] + "\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "General Public License for more details.\n\nYou should have received a copy of the GNU General Public License "
+        "along with this program. If not, see <https://www.gnu.org/licenses/>."
+    )
+    rows, wanted = [], {}
+    for name, text in [*named.items(), ("GPL-3.0-or-later", gpl)]:
+        for before, mark, after in (
+            ("# Copyright 2020 A. Person\n#\n", "#", "\n#\nimport os\nprint(os.name)"),
+            ("/*\n * Copyright (c) 2001 Somebody Else\n", " *", "\n */\nint main(void) { return 0; }"),
+            ("Prose goes on and on here, and then at once ", "", " and it goes on after that for a good while longer."),
+        ):
+            wanted[len(rows)] = name
+            rows.append((len(rows), before + wrapped(text, mark) + after))
+    for name, text in licences.full_texts():
+        wanted[len(rows)] = name
+        rows.append((len(rows), f"some code; x = 1\n{wrapped(text, '//')}\nmore of it; y = 2"))
+    rows += [(1000, "A story of this software, and of the terms and conditions of the work. " * 50)]
+    found: dict = {}
+    for r in licences.scan(documents(spark, rows)).collect():
+        found.setdefault(r.doc_id, set()).add(r.licence)
+    assert {i: n for i, n in wanted.items() if n not in found.get(i, set())} == {} and 1000 not in found
+
+
 def test_quality_on_held_out_labels(spark):
     rnd = random.Random(1)
     rows, labels = [], []
