@@ -7,8 +7,6 @@ over the views before it; ``{name}`` placeholders differ between the two engines
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
 CRAWL_PAGES = """
@@ -140,6 +138,12 @@ SELECT page_id, CASE page_id % 8
 FROM pages
 """
 
+# The crawl as it arrives: a page every half hour, every ninth one twice.
+ARRIVALS = """
+SELECT c.*, {moment} AS fetched_at FROM crawl_pages c
+UNION ALL SELECT c.*, {moment} AS fetched_at FROM crawl_pages c WHERE c.page_id % 9 = 0
+"""
+
 VIEWS = {
     "crawl_pages": CRAWL_PAGES,
     "page_urls": PAGE_URLS,
@@ -152,6 +156,7 @@ VIEWS = {
     "seeds": SEEDS,
     "rendered_pages": RENDERED_PAGES,
     "url_spellings": URL_SPELLINGS,
+    "arrivals": ARRIVALS,
 }
 _NEEDS = {
     "crawl_pages": ("pages",),
@@ -165,9 +170,11 @@ _NEEDS = {
     "seeds": ("crawl_pages",),
     "rendered_pages": ("crawl_pages",),
     "url_spellings": ("pages",),
+    "arrivals": ("crawl_pages",),
 }
 
 _SPARK_WORDS = {
+    "moment": "timestamp_seconds(1714521600 + c.page_id * 1800)",
     "text": "STRING",
     "div": "DIV",
     "newline": "\\n",
@@ -176,6 +183,7 @@ _SPARK_WORDS = {
     "agg_by_file": "listagg(line, '') WITHIN GROUP (ORDER BY file)",
 }
 _DUCKDB_WORDS = {
+    "moment": "make_timestamp((1714521600 + c.page_id * 1800) * 1000000)",
     "text": "VARCHAR(20)",
     "div": "//",
     "newline": "\n",
@@ -189,12 +197,23 @@ def duckdb_view(name: str) -> str:
     return VIEWS[name].format(**_DUCKDB_WORDS).strip()
 
 
-def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views as a DataFrame over ``sf_dir``."""
+def _page_stream(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
+    """A stream over the files of ``path``. The source reads folders, so a single file is picked out of its folder."""
+    folder, _, name = path.rpartition("/")
+    reader = spark.readStream.schema(table.schema)
+    if table.inputFiles()[0].endswith(f"/{name}"):
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
+
+
+def spark_view(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """One of the views as a DataFrame over ``sf_dir``, or as a stream over its files."""
     if name == "pages":
-        return spark.read.parquet(str(Path(sf_dir) / "pages.parquet"))
+        path = f"{sf_dir.rstrip('/')}/pages.parquet"
+        table = spark.read.parquet(path)
+        return _page_stream(spark, path, table) if stream else table
     sql = VIEWS[name].format(**_SPARK_WORDS)
-    inputs = {need: spark_view(spark, sf_dir, need) for need in _NEEDS[name]}
+    inputs = {need: spark_view(spark, sf_dir, need, stream) for need in _NEEDS[name]}
     for need in inputs:
         sql = sql.replace(f"FROM {need}", "FROM {" + need + "}")
     return spark.sql(_escape(sql, inputs), **inputs)

@@ -541,6 +541,28 @@ FULL JOIN (SELECT DISTINCT url, rule_id, area, severity FROM site_findings) AS b
     "findings_all": f"SELECT page_id, origin, url, rule_id, area, severity, effort, title, evidence FROM findings",
     "findings_ranked": f"SELECT {_FINDING} FROM findings",
     **{f"findings_{area.replace('-', '_')}": _by_area(area) for area in dict.fromkeys(r.area for r in RULES)},
+    "run_comparison_counts": """
+SELECT origin, severity, status, CAST(sum(n) AS BIGINT) AS findings,
+  CAST(coalesce(sum(n) FILTER (status IN ('open', 'resolved', 'not_audited')), 0) AS BIGINT) AS findings_before,
+  CAST(coalesce(sum(n) FILTER (status IN ('open', 'new', 'first_audit')), 0) AS BIGINT) AS findings_after
+FROM (
+  SELECT coalesce(a.origin, b.origin) AS origin, coalesce(a.severity, b.severity) AS severity, 1 AS n,
+    CASE WHEN a.url IS NOT NULL AND b.url IS NOT NULL THEN 'open'
+         WHEN a.url IS NOT NULL THEN CASE WHEN a.url IN (SELECT url FROM site_audit) THEN 'resolved' ELSE 'not_audited' END
+         ELSE CASE WHEN b.url IN (SELECT url FROM audit) THEN 'new' ELSE 'first_audit' END END AS status
+  FROM (SELECT DISTINCT origin, url, rule_id, severity FROM findings) AS a
+  FULL JOIN (SELECT DISTINCT origin, url, rule_id, severity FROM site_findings) AS b ON a.url = b.url AND a.rule_id = b.rule_id) AS c
+GROUP BY CUBE (origin, severity, status)
+""",
+    "arrival_counts": """
+SELECT a.origin, CAST(hour AS BIGINT) AS window_start, CAST(hour + 3600 AS BIGINT) AS window_end, count(DISTINCT a.page_id) AS pages, count(f.rule_id) AS findings,
+  count(*) FILTER (f.severity = 'Critical') AS critical, count(*) FILTER (f.severity = 'High') AS high,
+  count(*) FILTER (f.severity = 'Medium') AS medium, count(*) FILTER (f.severity = 'Low') AS low
+FROM (SELECT DISTINCT page_id, origin, CAST(epoch(fetched_at) AS BIGINT) // 3600 * 3600 AS hour FROM arrivals) AS a
+LEFT JOIN findings AS f ON f.page_id = a.page_id
+WHERE hour + 3600 <= (SELECT max(CAST(epoch(fetched_at) AS BIGINT)) FROM arrivals) - 7200
+GROUP BY a.origin, hour
+""",
     "run_summary": "SELECT (SELECT count(DISTINCT origin) FROM audit) AS sites, (SELECT count(*) FROM audit) AS pages, (SELECT count(*) FROM findings) AS findings",
     "sitemap_urls": "SELECT origin, pos, url FROM locs",
     "sitemap_index_urls": "SELECT origin, child, pos, url FROM child_locs",

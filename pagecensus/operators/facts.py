@@ -7,6 +7,8 @@ stage sees the document, its scripts or its links.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,7 +185,7 @@ def _aliased(columns: dict[str, str]) -> list[str]:
     return [f"{sql} AS {name}" for name, sql in columns.items()]
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
+def page_facts(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per page: what ``crawl_pages`` says about it and the facts, without the document.
 
     A failed page (``error`` set) has no document to look at: its facts are those of an empty one.
@@ -195,13 +197,13 @@ def page_facts(pages: DataFrame) -> DataFrame:
         }
     )
     return (
-        source.selectExpr(*PAGE_COLUMNS, "html", *_aliased(_FROM_DOCUMENT))
+        source.selectExpr(*PAGE_COLUMNS, *keep, "html", *_aliased(_FROM_DOCUMENT))
         .selectExpr("*", *_aliased(_from_tags("html")))
         .drop("html")
         .selectExpr("*", *_aliased(_PIECES))
         .selectExpr("*", *_aliased(_SCRIPT_PIECES))
         .selectExpr("*", f"{jsonld.kept_blocks('_json_bodies')} AS _blocks")
-        .selectExpr(*PAGE_COLUMNS, *_KEPT_PIECES, *_aliased(_FROM_PIECES))
+        .selectExpr(*PAGE_COLUMNS, *keep, *_KEPT_PIECES, *_aliased(_FROM_PIECES))
     )
 
 
@@ -228,13 +230,16 @@ def rendered_facts(rendered: DataFrame) -> DataFrame:
     )
 
 
+# Whether an origin has a robots file and a sitemap, judged by their bodies alone.
+RESOURCE_FLAGS = {
+    "has_robots_txt": f"robots_body <> '' AND NOT robots_body RLIKE {ROBOTS_NOT_FOUND}",
+    "has_sitemap": f"sitemap_body RLIKE {SITEMAP_BODY}",
+}
+
+
 def resource_flags(resources: DataFrame) -> DataFrame:
-    """Whether each origin has a robots file and a sitemap, judged by their bodies alone."""
-    return resources.selectExpr(
-        "origin",
-        f"robots_body <> '' AND NOT robots_body RLIKE {ROBOTS_NOT_FOUND} AS has_robots_txt",
-        f"sitemap_body RLIKE {SITEMAP_BODY} AS has_sitemap",
-    )
+    """The flags of each origin."""
+    return resources.selectExpr("origin", *_aliased(RESOURCE_FLAGS))
 
 
 def h1_rows(pages: DataFrame) -> DataFrame:

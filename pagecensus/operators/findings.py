@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagecensus.functions.rows import rows_of
 from pagecensus.functions.text import bind
 from pagecensus.operators.rules import FAILURE_RULE, RULES, Rule, by_priority, guidance
 
@@ -37,12 +36,18 @@ def with_findings(audits: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame
     return audits.withColumn("findings", F.expr(found))
 
 
-def finding_rows(audited: DataFrame, page_pos: str = "page_id") -> DataFrame:
-    """One narrow row per page and finding, with its rank on the page."""
-    keep = ["page_id", f"{page_pos} AS page_pos", "origin", "url", "template"]
-    return rows_of(audited, keep, "findings", "finding").selectExpr(
-        "page_id", "page_pos", "origin", "url", "template", "pos + 1 AS rank", "finding.*"
-    )
+def finding_rows(
+    audited: DataFrame, page_pos: str = "page_id", keep: Sequence[str] = (), clean_pages: bool = False
+) -> DataFrame:
+    """One narrow row per page and finding, with its rank on the page; ``keep`` names columns to take along.
+
+    With ``clean_pages``, a page without findings has one row whose finding is null.
+    """
+    columns = ["page_id", f"{page_pos} AS page_pos", "origin", "url", "template", *keep]
+    rows = audited.selectExpr(*columns, "posexplode_outer(findings) AS (pos, finding)")
+    if not clean_pages:
+        rows = rows.where("pos IS NOT NULL")
+    return rows.selectExpr("page_id", "page_pos", "origin", "url", "template", *keep, "pos + 1 AS rank", "finding.*")
 
 
 def fill(text: str, n: str) -> str:

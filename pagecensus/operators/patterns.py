@@ -20,16 +20,19 @@ from pagecensus.operators.rules import NO_EVIDENCE, RULES, Rule, guidance
 PATTERN_KEY = ["origin", "priority", "title_n"]
 
 
-def pattern_templates(rows: DataFrame) -> DataFrame:
-    """Per pattern and page template: how many pages, and where it was first seen."""
-    cells = rows.groupBy(*PATTERN_KEY, "template", "detail").agg(
+def pattern_templates(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Per pattern and page template: how many pages, and where it was first seen.
+
+    ``keep`` names columns that are the same for all rows of an origin.
+    """
+    cells = rows.groupBy(*PATTERN_KEY, *keep, "template", "detail").agg(
         F.count(F.lit(1)).alias("affected"),
         F.min("page_pos").alias("first_pos"),
         F.min_by("measure", "page_pos").alias("measure"),
     )
     # Positions do not repeat within a site, so the smallest one picks a single page.
     detail_pos = F.when(F.col("detail") != "", F.col("first_pos"))
-    return cells.groupBy(*PATTERN_KEY, "template").agg(
+    return cells.groupBy(*PATTERN_KEY, *keep, "template").agg(
         F.sum("affected").alias("affected"),
         F.min("first_pos").alias("first_pos"),
         F.min_by("measure", "first_pos").alias("measure"),
@@ -38,7 +41,7 @@ def pattern_templates(rows: DataFrame) -> DataFrame:
     )
 
 
-def patterns(templates: DataFrame, list_templates: bool = False) -> DataFrame:
+def patterns(templates: DataFrame, list_templates: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """One row per origin, rule and title.
 
     ``list_templates`` adds the templates as one text, in order of appearance. Only audits with a
@@ -55,7 +58,7 @@ def patterns(templates: DataFrame, list_templates: bool = False) -> DataFrame:
         aggregates.append(
             F.expr("listagg(template, ', ') WITHIN GROUP (ORDER BY first_pos)").alias("templates")
         )
-    return templates.groupBy(*PATTERN_KEY).agg(*aggregates)
+    return templates.groupBy(*PATTERN_KEY, *keep).agg(*aggregates)
 
 
 # First evidence that says something, and how many pages share the finding.
@@ -82,8 +85,8 @@ def site_patterns(table: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     )
 
 
-def site_issues(table: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """One row per origin with its ranked patterns as the array ``issues``.
+def site_issues(table: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per origin with its ranked patterns as the array ``issues``. Rows without a rule give no pattern.
 
     An origin has at most one pattern per rule, and per HTTP status for the rule titled by it, so
     the array stays small however many pages there are.
@@ -98,9 +101,9 @@ def site_issues(table: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         'title_n', title_n, 'priority', priority))"""
     return (
         _described(table, rules)
-        .groupBy("origin")
-        .agg(F.expr(f"array_sort(collect_list({entry})) AS sorted"))
-        .selectExpr("origin", "transform(sorted, e -> e.issue) AS issues")
+        .groupBy("origin", *keep)
+        .agg(F.expr(f"array_sort(collect_list(CASE WHEN priority IS NOT NULL THEN {entry} END)) AS sorted"))
+        .selectExpr("origin", *keep, "transform(sorted, e -> e.issue) AS issues")
     )
 
 

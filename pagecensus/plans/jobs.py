@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagecensus.operators import findings, notes, patterns, report
-from pagecensus.operators.discovery import chosen_snapshots, discovered_urls, discovery_summary
+from pagecensus.operators.discovery import chosen_pages, discovery_summary
 from pagecensus.operators.rules import RULES, Rule
-from pagecensus.plans.pipeline import SiteAudit, SiteReport, audit_rows, discovered_sites
+from pagecensus.plans.pipeline import SiteReport, audit_rows, discovered_sites, site_pages
 from pagecensus.session import prepare
 from pagecensus.sources import snapshots
 from pagecensus.sources.sinks import write_page_markdown, write_site_files, write_site_markdown, write_table
@@ -72,15 +72,6 @@ def _check_one_seed_per_site(sites: DataFrame) -> None:
         raise ValueError(f"several seeds for {repeated.origin}; give one per site")
 
 
-def _only_chosen(crawl: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Leave out documents no site asked for, before facts are extracted.
-
-    ``chosen`` is a written table of page numbers. Spark knows its size and decides whether the scan
-    gets the list or both sides are joined by page number.
-    """
-    return crawl.join(chosen.select("page_id"), "page_id", "left_semi")
-
-
 def audit_sites(
     spark: SparkSession,
     seeds: DataFrame,
@@ -102,21 +93,15 @@ def audit_sites(
     run_date = run_ts[:10]
     sites = _stage(spark, discovered_sites(seeds, resources, files), out, "sites", run_date)
     _check_one_seed_per_site(sites)
-    addresses = snapshots.crawl_pages(crawl).select("page_id", "url")
-    chosen = _stage(
-        spark, chosen_snapshots(discovered_urls(sites), addresses), out, "chosen_pages", run_date
-    )
-    wanted = _only_chosen(crawl, chosen)
-    wanted_rendered = None if rendered is None else _only_chosen(rendered, chosen)
-    audits = audit_rows(wanted, resources, wanted_rendered, rules)
-    pages = _stage(spark, SiteAudit(sites, audits, rules).pages(), out, "site_pages", run_date)
-
-    site_report = SiteReport(sites, pages, rules)
-    issues = _stage(spark, site_report.issues(), out, "site_issues", run_date)
-    rows = site_report.rows(issues)
+    addresses = snapshots.addressed(crawl).select("page_id", "url")
+    chosen = _stage(spark, chosen_pages(sites, addresses), out, "chosen_pages", run_date)
+    pages = _stage(spark, site_pages(chosen, crawl, rendered, rules), out, "site_pages", run_date)
+
+    site_report = SiteReport(pages, rules)
+    rows = _stage(spark, site_report.rows(), out, "site_reports", run_date)
     results = {
         "discovery": discovery_summary(sites),
-        "site_patterns_ranked": patterns.site_patterns_ranked(issues),
+        "site_patterns_ranked": patterns.site_patterns_ranked(rows),
         "pattern_urls": patterns.pattern_urls(site_report.finding_rows(), rules),
         "severity_counts": report.severity_counts(rows, report.SITE),
         "summaries": report.executive_summary(rows, report.SITE),
@@ -124,13 +109,13 @@ def audit_sites(
         "fix_plans": report.fix_plan(rows, report.SITE),
         "quick_wins": report.quick_wins(rows, report.SITE),
         "action_plans": report.action_plan(rows, report.SITE),
-        "affected_examples": report.affected_example_rows(site_report.examples(issues)),
+        "affected_examples": report.affected_example_rows(site_report.examples(rows)),
         "pages_audited": report.pages_audited(pages),
         "notes": site_report.notes(),
     }
     for name, result in results.items():
         write_table(result, out, name, run_date)
-    documents = site_report.markdown(run_ts, issues)
+    documents = site_report.markdown(run_ts, rows)
     write_site_markdown(documents, f"{out}/site_markdown/run_date={run_date}")
     if files_for:
         written = spark.read.parquet(f"{out}/site_markdown/run_date={run_date}")

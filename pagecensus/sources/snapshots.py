@@ -6,7 +6,10 @@ shape: no null text, lower-case header names, an origin per row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagecensus.functions.urls import parse_or_assume_https, parse_url, template_of
 
@@ -25,8 +28,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def crawl_pages(df: DataFrame) -> DataFrame:
-    """Page snapshots with normalised address, origin and path template.
+def crawl_pages(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Page snapshots with normalised address, origin and path template; ``keep`` names columns to take along.
 
     ``csp`` is the one response header the rules read, empty when absent. A text that is no URL
     keeps its spelling and belongs to the origin ``null``.
@@ -44,9 +47,15 @@ def crawl_pages(df: DataFrame) -> DataFrame:
         "error",
         f"coalesce({csp}, '') AS csp",
         "coalesce(html, '') AS html",
+        *keep,
     )
 
 
+def addressed(df: DataFrame) -> DataFrame:
+    """The raw ``crawl_pages`` with normalised addresses, for looking up pages before they are read."""
+    return df.withColumn("url", F.expr(f"coalesce({parse_or_assume_https('url')}.url, url)"))
+
+
 def site_resources(df: DataFrame) -> DataFrame:
     """One row per origin; a body that could not be fetched is empty."""
     return df.selectExpr(

@@ -49,7 +49,7 @@ def test_three_pages(spark):
     text = document(site.markdown(RUN_TS))
     assert text.startswith("# Site audit\n")
     assert report.pages_audited(site.pages).count() == 3
-    affected = {i.rule_id: i.affected for i in site.issues().first().issues}
+    affected = {i.rule_id: i.affected for i in site.rows().first().issues}
     assert affected["analytics_missing"] == affected["csp_missing"] == affected["not_https"] == 3
 
 
