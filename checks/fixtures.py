@@ -126,7 +126,8 @@ FROM crawl_pages
 
 # The raw addresses in other spellings of the same thing.
 URL_SPELLINGS = """
-SELECT page_id, CASE page_id % 8
+SELECT page_id, CASE WHEN page_id % 12 = 5 THEN concat('https://', CASE page_id % 5 WHEN 0 THEN 'Bücher.example' WHEN 1 THEN 'www.МОСКВА.example'
+    WHEN 2 THEN '例え.テスト' WHEN 3 THEN 'a-Ñandú-z.example:443' ELSE 'über。example' END, '/en/', CAST(page_id AS {text})) ELSE CASE page_id % 8
   WHEN 0 THEN upper(substr(url, 1, instr(substr(url, 9), '/') + 8))
   WHEN 1 THEN substr(url, instr(url, '//') + 2)
   WHEN 2 THEN replace(url, '/en/', ':443/en/')
@@ -134,7 +135,7 @@ SELECT page_id, CASE page_id % 8
   WHEN 4 THEN replace(url, '://', '://user@')
   WHEN 5 THEN concat('  ', url, ' ')
   WHEN 6 THEN substr(url, 1, 7 + instr(substr(url, 9), '/'))
-  ELSE concat('mailto:', CAST(page_id AS {text})) END AS raw_url
+  ELSE concat('mailto:', CAST(page_id AS {text})) END END AS raw_url
 FROM pages
 """
 

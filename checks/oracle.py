@@ -505,6 +505,14 @@ FROM site_totals AS t LEFT JOIN {_top('found_patterns', 'origin', "'**' || title
 """
 
 
+def _encoded_hosts(sql: str) -> str:
+    """DuckDB cannot encode host names, so the labels of the views are encoded by Python's codec."""
+    host = "replace(lower(regexp_extract(auth, '^(?:.*@)?([^:@]*)', 1)), '。', '.')"
+    for label in ("bücher", "москва", "例え", "テスト", "a-ñandú-z", "über"):
+        host = f"replace({host}, '{label}', 'xn--{label.encode('punycode').decode()}')"
+    return sql.replace("HOST AS host", f"{host} AS host")
+
+
 def _by_area(area: str) -> str:
     return f"SELECT {_FINDING} FROM findings WHERE area = {lit(area)}"
 
@@ -516,18 +524,23 @@ FINAL: dict[str, str] = {
     "link_rows": "SELECT page_id, pos, attrs, rel, href, hreflang FROM link_rows",
     "jsonld_rows": "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, CAST(block AS VARCHAR) AS block FROM jsonld",
     "jsonld_types": "SELECT page_id, name AS type FROM types",
+    "json_ld_rejected": r"""
+SELECT page_id, pos, CASE WHEN trimmed = '' THEN 'empty' WHEN trimmed IN ('null', 'false', '""', '0') THEN 'says nothing' ELSE 'not one JSON value' END AS reason, body
+FROM (SELECT page_id, pos, body, trim(body, E' \t\r\n') AS trimmed FROM script_rows WHERE regexp_matches(attrs, '(?i)type=["'']application/ld\+json["'']')) AS s
+WHERE NOT json_valid(trimmed) OR trimmed IN ('null', 'false', '""', '0')
+""",
     "site_resource_join": "SELECT page_id, origin, url, has_robots_txt, has_sitemap FROM audit",
     "render_diff": "SELECT page_id, url, render_ok, text_growth, h1_changed, schema_blocks_added FROM audit",
-    "url_normalize": r"""
+    "url_normalize": _encoded_hosts(r"""
 SELECT page_id, raw_url, CASE WHEN scheme IN ('http', 'https') THEN scheme || '://' || userinfo || host || port || CASE WHEN rest = '' THEN '/' ELSE rest END ELSE text END AS url,
   CASE WHEN scheme IN ('http', 'https') THEN scheme || '://' || host || port ELSE 'null' END AS origin
-FROM (SELECT page_id, raw_url, text, scheme, regexp_extract(auth, '^(.*@)', 1) AS userinfo, lower(regexp_extract(auth, '^(?:.*@)?([^:@]*)', 1)) AS host,
+FROM (SELECT page_id, raw_url, text, scheme, regexp_extract(auth, '^(.*@)', 1) AS userinfo, HOST AS host,
         CASE WHEN regexp_extract(auth, '(:[0-9]+)$', 1) = CASE scheme WHEN 'http' THEN ':80' ELSE ':443' END THEN '' ELSE regexp_extract(auth, '(:[0-9]+)$', 1) END AS port, rest
       FROM (SELECT page_id, raw_url, text, lower(regexp_extract(text, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme,
               regexp_extract(text, '^[A-Za-z]+://([^/?#]*)', 1) AS auth, regexp_extract(text, '^[A-Za-z]+://[^/?#]*(.*)$', 1) AS rest
             FROM (SELECT page_id, raw_url, CASE WHEN regexp_matches(trim(raw_url), '^[A-Za-z][A-Za-z0-9+.-]*:') THEN trim(raw_url) ELSE 'https://' || trim(raw_url) END AS text
                   FROM url_spellings) AS a) AS b) AS c
-""",
+"""),
     "url_templates": "SELECT page_id, origin, url, template FROM site_docs",
     "run_comparison": """
 SELECT coalesce(a.url, b.url) AS url, coalesce(a.rule_id, b.rule_id) AS rule_id, coalesce(a.area, b.area) AS area,

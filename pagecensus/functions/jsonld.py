@@ -29,11 +29,21 @@ def kept_blocks(bodies: str) -> str:
     return f"filter(transform({truthy}, body -> {parsed}), block -> block IS NOT NULL)"
 
 
+def rejection(body: str) -> str:
+    """Why a JSON-LD body is not kept, null if it is."""
+    return bind(
+        trim_space(body), "t",
+        f"CASE WHEN t = '' THEN 'empty' WHEN t RLIKE {_FALSY} THEN 'says nothing' "
+        f"WHEN size({kept_blocks('array(t)')}) = 0 THEN 'not one JSON value' END",
+    )
+
+
 def type_names(blocks: str, bodies: str) -> str:
     """Distinct ``@type`` names, found through lists and ``@graph`` at any depth and nowhere else.
 
-    The walk goes level by level. Each step enters a list or an object, so the number of opening
-    brackets in the texts bounds the number of steps.
+    The walk goes level by level and does nothing more once a level is empty, so its cost is that of the
+    levels there are. Each step enters a list or an object, so the number of opening brackets in the texts
+    bounds the number of steps. The names of a level are kept as one list, and put together at the end.
     """
     openings = f"reduce({bodies}, 1, (n, body) -> n + regexp_count(body, {pattern('[' + chr(92) + '[{]')}))"
     own = (
@@ -45,11 +55,14 @@ def type_names(blocks: str, bodies: str) -> str:
         "CASE WHEN graph IS NOT NULL THEN array(graph) END",
     )
     children = f"coalesce(try_variant_get(node, '$', 'array<variant>'), {graph}, {_EMPTY_NODES})"
+    step = (
+        f"named_struct('frontier', flatten(transform(acc.frontier, node -> {children})), "
+        f"'levels', array_append(acc.levels, flatten(transform(acc.frontier, node -> {own}))))"
+    )
     walked = (
         f"reduce(sequence(1, least({openings}, {_MAX_NESTING})), "
-        f"named_struct('frontier', {blocks}, 'types', {_EMPTY_NAMES}), (acc, step) -> named_struct("
-        f"'frontier', flatten(transform(acc.frontier, node -> {children})), "
-        f"'types', concat(acc.types, flatten(transform(acc.frontier, node -> {own})))), acc -> acc.types)"
+        f"named_struct('frontier', {blocks}, 'levels', CAST(array() AS ARRAY<ARRAY<STRING>>)), "
+        f"(acc, step) -> CASE WHEN size(acc.frontier) = 0 THEN acc ELSE {step} END, acc -> flatten(acc.levels))"
     )
     names = f"array_distinct(filter({walked}, name -> name IS NOT NULL AND name <> ''))"
     return f"CASE WHEN size({blocks}) > 0 THEN {names} ELSE {_EMPTY_NAMES} END"

@@ -1,11 +1,12 @@
 """URL normalisation, origin and path template as Spark SQL expressions.
 
-A URL is split once into a struct and put together again from its parts. Not covered: host names
-outside ASCII stay as written, and schemes other than http and https are kept untouched.
+A URL is split once into a struct and put together again from its parts. Host names outside ASCII are
+encoded. Schemes other than http and https are kept untouched.
 """
 
 from __future__ import annotations
 
+from pagecensus.functions.hostnames import ascii_host
 from pagecensus.functions.text import bind, pattern, quoted
 
 _SCHEME = pattern(r"^([A-Za-z][A-Za-z0-9+.\-]*):")
@@ -67,7 +68,7 @@ _BACKSLASH = quoted("\\")
 _PIECES = f"""named_struct(
   'text', u.text,
   'scheme', u.scheme,
-  'host', lower(regexp_replace({_HOST_PORT}, ':[0-9]*$', '')),
+  'host', {bind(f"lower(regexp_replace({_HOST_PORT}, ':[0-9]*$', ''))", "name", ascii_host)},
   'port', regexp_extract({_HOST_PORT}, ':([0-9]+)$', 1),
   'userinfo', CASE WHEN {_USER_INFO} IN ('@', ':@') THEN '' ELSE {_USER_INFO} END,
   'path', replace(u.path, {_BACKSLASH}, '/'),

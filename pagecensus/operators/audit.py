@@ -10,8 +10,10 @@ from pagecensus.functions.text import quoted
 SKIPPED_NOTE = "Rendered pages were not part of this run."
 FAILED_RENDER = "The page itself could not be audited."
 
-# Into how many pieces each origin's pages are split for the join with its flags.
-ORIGIN_SALTS = 8
+# The pages of an origin are split for the join with its flags into pieces of this many pages, or of one of
+# so many shares of all pages if that is more. So no more than that many origins are split.
+PIECE_PAGES = 100_000
+SHARES = 1000
 
 _NO_RENDER = (
     "CAST(NULL AS BOOLEAN) AS ok",
@@ -55,22 +57,38 @@ def with_render(facts: DataFrame, rendered: DataFrame | None) -> DataFrame:
     ).drop("ok", "skipped", "rendered_text_length", "rendered_h1s", "rendered_json_ld_count")
 
 
-def with_resource_flags(facts: DataFrame, flags: DataFrame, salts: int = ORIGIN_SALTS) -> DataFrame:
+def heavy_origins(pages: DataFrame) -> DataFrame:
+    """``origin, pieces`` of the origins whose pages make more than one piece, at most ``SHARES`` of them.
+
+    A sketch of the most frequent origins is enough: its counts may be off a little, which makes the pieces a
+    little larger or smaller. It is merged from what each task finds and reads addresses only.
+    """
+    counted = pages.agg(
+        F.expr(f"approx_top_k(origin, {SHARES}, {10 * SHARES}) AS top"), F.count(F.lit(1)).alias("pages")
+    )
+    listed = counted.selectExpr("pages", "inline(top) AS (origin, n)")
+    pieces = f"CAST(ceil(n / greatest({PIECE_PAGES}, pages / {SHARES})) AS INT)"
+    return listed.selectExpr("origin", f"{pieces} AS pieces").where("pieces > 1")
+
+
+def with_resource_flags(facts: DataFrame, flags: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Give each page the robots and sitemap flags of its origin; none is ``false``.
 
-    One origin may own a large share of all pages. The small side is repeated once per salt, which
-    spreads an origin over several tasks. The salt also keeps later grouping by origin from reusing
-    this join's partitioning, so adaptive execution stays free to split what is still too big.
+    ``pages`` is where origins are measured: any table with the ``origin`` of all pages that is cheap to read.
+
+    One origin may own a large share of all pages. It is split into pieces by its measured size, and its flags
+    are repeated once per piece; other origins are neither split nor repeated. On a stream, whose batches are
+    small and cannot be measured ahead, nothing is split.
     """
-    salted_pages = facts.withColumn("_salt", F.expr(f"CAST(pmod(xxhash64(page_id), {salts}) AS INT)"))
-    salted_flags = flags.withColumn("_salt", F.expr(f"explode(sequence(0, {salts - 1}))"))
-    return (
-        salted_pages.join(salted_flags, ["origin", "_salt"], "left")
-        .drop("_salt")
-        .withColumns(
-            {
-                name: F.expr(f"error IS NULL AND coalesce({name}, false)")
-                for name in ("has_robots_txt", "has_sitemap")
-            }
-        )
+    if facts.isStreaming:
+        joined = facts.join(flags, "origin", "left")
+    else:
+        # Bounded by SHARES rows.
+        heavy = F.broadcast(heavy_origins((facts if pages is None else pages).select("origin")))
+        pieces = F.expr("coalesce(pieces, 1)")
+        split_pages = facts.join(heavy, "origin", "left").withColumn("_piece", F.pmod(F.xxhash64("page_id"), pieces).cast("int"))
+        split_flags = flags.join(heavy, "origin", "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        joined = split_pages.drop("pieces").join(split_flags.drop("pieces"), ["origin", "_piece"], "left").drop("_piece")
+    return joined.withColumns(
+        {name: F.expr(f"error IS NULL AND coalesce({name}, false)") for name in ("has_robots_txt", "has_sitemap")}
     )

@@ -263,3 +263,14 @@ def json_ld_rows(pages: DataFrame) -> DataFrame:
     return rows_of(pages, ["page_id"], blocks, "block").selectExpr(
         "page_id", "pos", "to_json(block) AS block"
     )
+
+
+def json_ld_rejected(pages: DataFrame) -> DataFrame:
+    """The JSON-LD blocks that are not kept: ``page_id, pos, reason, body``.
+
+    ``pos`` is the place among the page's scripts, as in ``script_rows``. The reason is ``empty``,
+    ``says nothing`` (null, false, zero or an empty string) or ``not one JSON value``.
+    """
+    marked = rows_of(pages, ["page_id"], scripts("html"), "s").where(f"s.attrs RLIKE {JSON_LD_TYPE}")
+    judged = marked.selectExpr("page_id", "pos", f"{jsonld.rejection('s.body')} AS reason", "s.body AS body")
+    return judged.where("reason IS NOT NULL")

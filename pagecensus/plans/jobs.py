@@ -1,7 +1,8 @@
 """Batch jobs: read input tables, write result tables.
 
 Each job writes its expensive stage once and derives the rest from the written table. A lost
-executor therefore costs a re-read, and no report table extracts facts again.
+executor therefore costs a re-read, and no report table extracts facts again. The tables of a job become
+the current ones together, when all are written (``sinks.Run``, ``sinks.read_table``).
 """
 
 from __future__ import annotations
@@ -17,12 +18,7 @@ from pagecensus.operators.rules import RULES, Rule
 from pagecensus.plans.pipeline import SiteReport, audit_rows, discovered_sites, site_pages
 from pagecensus.session import prepare
 from pagecensus.sources import snapshots
-from pagecensus.sources.sinks import write_page_markdown, write_site_files, write_site_markdown, write_table
-
-
-def _stage(spark: SparkSession, table: DataFrame, out: str, name: str, run_date: str) -> DataFrame:
-    write_table(table, out, name, run_date)
-    return spark.read.parquet(f"{out}/{name}/run_date={run_date}")
+from pagecensus.sources.sinks import Run, in_site_order, write_page_markdown, write_site_files
 
 
 def audit_pages(
@@ -40,8 +36,8 @@ def audit_pages(
     Returns the run summary.
     """
     prepare(spark)
-    run_date = run_ts[:10]
-    audited = _stage(spark, audit_rows(crawl, resources, rendered, rules), out, "page_audits", run_date)
+    run = Run(spark, out, run_ts)
+    audited = run.write(audit_rows(crawl, resources, rendered, rules), "page_audits")
     rows = findings.finding_rows(audited)
     with_issues = report.page_issues(audited, rules)
     table = patterns.patterns(patterns.pattern_templates(rows))
@@ -59,11 +55,13 @@ def audit_pages(
         "quick_wins": report.quick_wins(with_issues, report.PAGE),
     }
     for name, result in results.items():
-        write_table(result, out, name, run_date)
+        run.write(result, name)
+    summary = run.write(report.run_summary(audited), "run_summary")
+    run.finish()
     if markdown:
         documents = report.page_markdown(with_issues, run_ts)
-        write_page_markdown(documents, f"{out}/page_markdown/run_date={run_date}")
-    return _stage(spark, report.run_summary(audited), out, "run_summary", run_date)
+        write_page_markdown(documents, f"{out}/page_markdown/run_date={run.run_date}")
+    return summary
 
 
 def _check_one_seed_per_site(sites: DataFrame) -> None:
@@ -90,15 +88,15 @@ def audit_sites(
     document as text files too. Returns the run summary.
     """
     prepare(spark)
-    run_date = run_ts[:10]
-    sites = _stage(spark, discovered_sites(seeds, resources, files), out, "sites", run_date)
+    run = Run(spark, out, run_ts)
+    sites = run.write(discovered_sites(seeds, resources, files), "sites")
     _check_one_seed_per_site(sites)
     addresses = snapshots.addressed(crawl).select("page_id", "url")
-    chosen = _stage(spark, chosen_pages(sites, addresses), out, "chosen_pages", run_date)
-    pages = _stage(spark, site_pages(chosen, crawl, rendered, rules), out, "site_pages", run_date)
+    chosen = run.stage(chosen_pages(sites, addresses), "chosen_pages")
+    pages = run.write(site_pages(chosen, crawl, rendered, rules), "site_pages")
 
     site_report = SiteReport(pages, rules)
-    rows = _stage(spark, site_report.rows(), out, "site_reports", run_date)
+    rows = run.stage(site_report.rows(), "site_reports")
     results = {
         "discovery": discovery_summary(sites),
         "site_patterns_ranked": patterns.site_patterns_ranked(rows),
@@ -114,10 +112,10 @@ def audit_sites(
         "notes": site_report.notes(),
     }
     for name, result in results.items():
-        write_table(result, out, name, run_date)
-    documents = site_report.markdown(run_ts, rows)
-    write_site_markdown(documents, f"{out}/site_markdown/run_date={run_date}")
+        run.write(result, name)
+    documents = run.write(in_site_order(site_report.markdown(run_ts, rows)), "site_markdown")
+    summary = run.write(report.run_summary(pages), "run_summary")
+    run.finish()
     if files_for:
-        written = spark.read.parquet(f"{out}/site_markdown/run_date={run_date}")
-        write_site_files(written, f"{out}/site_files/run_date={run_date}", files_for)
-    return _stage(spark, report.run_summary(pages), out, "run_summary", run_date)
+        write_site_files(documents, f"{out}/site_files/run_date={run.run_date}", files_for)
+    return summary

@@ -26,7 +26,8 @@ def audit_rows(
     Takes the raw input tables. Documents are read in the scan stage and go no further. ``keep`` names
     columns of ``crawl`` to take along.
     """
-    page_facts = facts.page_facts(snapshots.crawl_pages(crawl, keep), keep)
+    pages = snapshots.crawl_pages(crawl, keep)
+    page_facts = facts.page_facts(pages, keep)
     rendered_facts = (
         None if rendered is None else facts.rendered_facts(snapshots.rendered_pages(rendered))
     )
@@ -35,7 +36,7 @@ def audit_rows(
         # Pages of a site take over the flags of the site.
         rows = rows.withColumns({name: F.lit(False) for name in facts.RESOURCE_FLAGS})
     else:
-        rows = audit.with_resource_flags(rows, facts.resource_flags(snapshots.site_resources(resources)))
+        rows = audit.with_resource_flags(rows, facts.resource_flags(snapshots.site_resources(resources)), pages)
     return findings.with_findings(rows, rules)
 
 

@@ -122,3 +122,37 @@ def test_sites_with_several_sitemap_files(spark, tmp_path, name):
     assert compare(spark, con, str(tmp_path), name, entry.oracle_sql()[name]) == ""
     summary = entry.queries()["discovery_summary"](spark, str(tmp_path))
     assert summary.agg(F.sum("total_discovered")).first()[0] > pages.count()
+
+
+def test_large_sitemaps_are_cut_where_they_are_read(spark):
+    """200,000 entries, half of them repeated, in one sitemap and in the files of an index."""
+    lines = [f"<loc>{A}/{n // 2}</loc>" for n in range(200_000)]
+    index = "<sitemapindex>" + locs(f"{A}/s1.xml", f"{A}/s2.xml", f"{A}/unread.xml")
+    children = files(spark, (f"{A}/s1.xml", 200, "".join(lines[:100_000])), (f"{A}/s2.xml", 200, "".join(lines[100_000:])))
+    for body in ("<urlset>" + "".join(lines), index):
+        sites = discovered_sites(seeds(spark, (A, 10)), resources(spark, [(A, "", 200, body)]), children)
+        row = sites.first()
+        assert row.total_discovered == 200_000
+        assert row.urls == [f"{A}/"] + [f"{A}/{n}" for n in range(9)]
+    state = discovery._first_of(discovery.own_urls(discovery.entries("body")), "10")
+    held = spark.createDataFrame([(A, "".join(lines))], "origin string, body string").selectExpr(f"{state} AS s").first().s
+    assert (len(held.urls), held.listed) == (10, 200_000)
+
+
+def test_page_caps_of_several_sites(spark):
+    """The largest cap decides what is kept of a file, each seed's own what is audited; a bound lowers them."""
+    b = "https://b.example"
+    site = resources(spark, [(o, "", 200, locs(*[f"{o}/{n}" for n in range(40)])) for o in (A, b)])
+    both = seeds(spark, (A, 3), (b, 25))
+    counts = {r.origin: r.audited for r in discovery.discovery_summary(discovered_sites(both, site)).collect()}
+    assert counts == {A: 3, b: 25}
+    bounded = discovery.discover(snapshots.seeds(both), snapshots.site_resources(site), most_pages=7)
+    assert {r.origin: len(r.urls) for r in bounded.collect()} == {A: 3, b: 7}
+
+
+def test_only_named_files_are_parsed(spark):
+    """Files that no index names are gone before their bodies are looked at."""
+    index = "<sitemapindex>" + locs(f"{A}/s1.xml")
+    many = files(spark, *[(f"{A}/s{n}.xml", 200, locs(f"{A}/{n}")) for n in range(500)])
+    site = snapshots.site_resources(resources(spark, [(A, "", 200, index)]))
+    assert [r.url for r in discovery._named_files(snapshots.sitemap_files(many), site).collect()] == [f"{A}/s1.xml"]

@@ -1,6 +1,7 @@
 """Edge cases of fact extraction, one tiny document each."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -224,3 +225,38 @@ def test_unclosed_tags_take_linear_time(spark):
     rows = facts_of(spark, *documents, "<title>t</title><h1>x</h1><h1>y", "<script>1</script><script>2")
     assert [r.h1s for r in rows] == [["a"], ["a"], ["a"], ["x"], []]
     assert rows[3].title == "t" and rows[2].title == ""
+
+
+def _ld(*bodies):
+    return "".join(f"<script>x</script><script type='application/ld+json'>{b}</script>" for b in bodies)
+
+
+def test_rejected_json_ld_blocks_are_listed(spark):
+    html = _ld('{"@type":"A"}', "", " \n", "null", "0.0", '""', '{"a":1} x', "{a:1}", "[1", "[]")
+    pages = crawl(spark, [(1, "https://a.example/1", html), (2, "https://a.example/2", _ld("{}"))])
+    rows = facts.json_ld_rejected(snapshots.crawl_pages(pages)).orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.pos, r.reason, r.body) for r in rows] == [
+        (1, 3, "empty", ""), (1, 5, "empty", " \n"), (1, 7, "says nothing", "null"), (1, 9, "says nothing", "0.0"),
+        (1, 11, "says nothing", '""'), (1, 13, "not one JSON value", '{"a":1} x'), (1, 15, "not one JSON value", "{a:1}"),
+        (1, 17, "not one JSON value", "[1"),
+    ]
+    kept = facts.json_ld_rows(snapshots.crawl_pages(pages)).count()
+    assert kept + len(rows) == 11
+
+
+def test_type_walk_is_linear_in_shallow_blocks(spark):
+    """Many objects beside each other make one level; the walk must not repeat itself for each of them."""
+    times = []
+    for n in (1000, 100_000):
+        body = "[" + ",".join(f'{{"@type":"T{i % 7}"}}' for i in range(n)) + "]"
+        start = time.perf_counter()
+        assert sorted(facts_of(spark, _ld(body))[0].schema_types) == [f"T{i}" for i in range(7)]
+        times.append(time.perf_counter() - start)
+    assert times[1] < 30 * max(times[0], 1)
+
+
+def test_type_walk_through_deep_blocks(spark):
+    deep = '{"@type":"Inner"}'
+    for n in range(300):
+        deep = f'{{"@type":"L{n % 3}","@graph":[{deep}]}}' if n % 2 else f"[{deep}]"
+    assert sorted(facts_of(spark, _ld(deep))[0].schema_types) == ["Inner", "L0", "L1", "L2"]

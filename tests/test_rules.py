@@ -1,6 +1,6 @@
 """Thresholds and preconditions of the rules."""
 
-from pagecensus.operators import findings
+from pagecensus.operators import audit, findings
 from pagecensus.operators.rules import RULES, Rule, by_priority, rule_catalogue
 from pagecensus.plans.pipeline import audit_rows
 from tests.rows import crawl, rendered, resources
@@ -113,3 +113,27 @@ def test_users_add_rules(spark):
 def test_catalogue(spark):
     rows = rule_catalogue(spark).collect()
     assert len(rows) == 31 and {r.seq for r in rows} == {r.priority for r in rows} == set(range(1, 32))
+
+
+def test_large_origins_are_split_by_their_size(spark, monkeypatch):
+    """An origin with nine tenths of the pages gets pieces, the others are neither split nor repeated."""
+    monkeypatch.setattr(audit, "PIECE_PAGES", 100)
+    pages = spark.range(1000).selectExpr(
+        "id AS page_id", "if(id % 10 > 0, 'https://big.example', concat('https://s', id, '.example')) AS origin",
+        "CAST(NULL AS STRING) AS error",
+    )
+    heavy = {r.origin: r.pieces for r in audit.heavy_origins(pages).collect()}
+    assert heavy == {"https://big.example": 9}
+    flags = pages.select("origin").distinct().selectExpr(
+        "origin", "true AS has_robots_txt", "origin <> 'https://s0.example' AS has_sitemap"
+    )
+    rows = audit.with_resource_flags(pages, flags).collect()
+    assert len(rows) == 1000 and all(r.has_robots_txt for r in rows)
+    assert [r.page_id for r in rows if not r.has_sitemap] == [0]
+    assert audit.with_resource_flags(pages, flags.limit(0)).where("has_robots_txt").count() == 0
+
+
+def test_even_origins_are_not_split(spark, monkeypatch):
+    monkeypatch.setattr(audit, "PIECE_PAGES", 100)
+    pages = spark.range(900).selectExpr("concat('https://', id % 9, '.example') AS origin")
+    assert audit.heavy_origins(pages).count() == 0
