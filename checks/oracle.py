@@ -430,7 +430,7 @@ def _counts(source: str, key: str) -> str:
 def _top(source: str, key: str, item: str) -> str:
     """First titles among the blockers of each page or site."""
     return (
-        f"(SELECT {key}, string_agg({item}, ', ' ORDER BY rank) AS top FROM {source} "
+        f"(SELECT {key}, string_agg({item}, '; ' ORDER BY rank) AS top FROM {source} "
         f"WHERE severity IN ('Critical', 'High') AND rank <= {R.TOP_TITLES} GROUP BY {key})"
     )
 
@@ -490,18 +490,17 @@ def _signals() -> str:
 
 
 _SITE_SCOPE = f"(' (' || {urls('affected')} || ')')"
+_BY_SEVERITY = "'Critical ' || critical || ', High ' || high || ', Medium ' || medium || ', Low ' || low"
+_FIRST = f"CASE WHEN top IS NULL THEN {lit(R.ONLY_LOWER)} ELSE 'Ranked first: ' || top || '.' END"
 _PAGE_SUMMARY = f"""
-SELECT t.page_id, t.url, CASE WHEN total = 0 THEN 'No findings. Look at the rendered page, field speed and analytics events next.'
-  ELSE 'There are **' || total || ' findings**, **' || critical || ' Critical** and **' || high || ' High** among them. First to look at: '
-    || coalesce(top, {lit(R.ONLY_LOWER)}) || '. Begin with tracking and indexing, then go on to schema, mobile and scripts.' END AS summary
+SELECT t.page_id, t.url, CASE WHEN total = 0 THEN {lit(R.NOTHING_FOUND)}
+  ELSE 'Findings: ' || total || ' (' || {_BY_SEVERITY} || '). ' || {_FIRST} END AS summary
 FROM page_totals AS t LEFT JOIN {_top('findings', 'page_id', "'**' || title || '**'")} AS b ON b.page_id = t.page_id
 """
 _SITE_SUMMARY = f"""
-SELECT t.origin, CASE WHEN total = 0 THEN 'No patterns on **' || pages || ' pages**. Go deeper into the site, and look at rendered pages and field speed.'
-  ELSE '**' || pages || ' pages** were audited. Their **' || page_findings || ' findings** form **' || total || ' patterns**, **' || critical
-    || ' Critical** and **' || high || ' High** among them. First to look at: ' || coalesce(top, {lit(R.ONLY_LOWER)})
-    || '. Begin with what many pages or a shared template have in common.' END AS summary
-FROM site_totals AS t LEFT JOIN {_top('found_patterns', 'origin', "'**' || title || '** (' || " + urls('affected') + " || ')'")} AS b ON b.origin = t.origin
+SELECT t.origin, CASE WHEN total = 0 THEN {lit(R.NOTHING_FOUND)}
+  ELSE 'Pages audited: ' || pages || '. Findings: ' || page_findings || ', which are ' || total || ' different ones (' || {_BY_SEVERITY} || '). ' || {_FIRST} END AS summary
+FROM site_totals AS t LEFT JOIN {_top('found_patterns', 'origin', "'**' || title || '** on ' || " + urls('affected'))} AS b ON b.origin = t.origin
 """
 
 
