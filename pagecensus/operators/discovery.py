@@ -117,12 +117,18 @@ def discover(
 
     The start URL comes first, then the sitemap in order; of equal URLs the first one stays. A
     sitemap that was not answered with a 2xx status leaves the start URL alone. Whether the site has
-    a robots file and a sitemap comes along. ``most_pages`` bounds the page caps of the seeds; without
+    a robots file and a sitemap comes along. A site is an origin: two seeds of one origin fail the query.
+    ``most_pages`` bounds the page caps of the seeds; without
     it, the largest of them is looked up.
     """
     most = seeds.agg(F.max("max_pages")).scalar() if most_pages is None else F.lit(most_pages)
-    if most_pages is not None:
-        seeds = seeds.withColumn("max_pages", F.least("max_pages", F.lit(most_pages)))
+    cap = "max_pages" if most_pages is None else f"least(max_pages, {most_pages})"
+    one = "if(n = 1, start_url, raise_error(concat('several seeds for ', origin, '; give one per site')))"
+    seeds = (
+        seeds.groupBy("origin")
+        .agg(F.min("start_url").alias("start_url"), F.max("max_pages").alias("max_pages"), F.count(F.lit(1)).alias("n"))
+        .selectExpr("origin", f"{one} AS start_url", f"{cap} AS max_pages")
+    )
     sitemaps = _sitemaps(resources, most)
     if files is None:
         sitemaps = sitemaps.withColumn("expanded", F.expr(_NONE_FOUND))

@@ -64,8 +64,8 @@ def audit_pages(
     return summary
 
 
-def _check_one_seed_per_site(sites: DataFrame) -> None:
-    repeated = sites.groupBy("origin").count().where("count > 1").select("origin").head()
+def _check_one_seed_per_site(seeds: DataFrame) -> None:
+    repeated = snapshots.seeds(seeds).groupBy("origin").count().where("count > 1").select("origin").head()
     if repeated:
         raise ValueError(f"several seeds for {repeated.origin}; give one per site")
 
@@ -89,8 +89,8 @@ def audit_sites(
     """
     prepare(spark)
     run = Run(spark, out, run_ts)
+    _check_one_seed_per_site(seeds)
     sites = run.write(discovered_sites(seeds, resources, files), "sites")
-    _check_one_seed_per_site(sites)
     addresses = snapshots.addressed(crawl).select("page_id", "url")
     chosen = run.stage(chosen_pages(sites, addresses), "chosen_pages")
     pages = run.write(site_pages(chosen, crawl, rendered, rules), "site_pages")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from checks.compare import compare
 from pagecensus.operators import discovery
+from pagecensus.plans import jobs
 from pagecensus.plans.pipeline import SiteAudit, audit_rows, discovered_sites
 from pagecensus.sources import snapshots
 from tests.rows import crawl, resources
@@ -156,3 +157,11 @@ def test_only_named_files_are_parsed(spark):
     many = files(spark, *[(f"{A}/s{n}.xml", 200, locs(f"{A}/{n}")) for n in range(500)])
     site = snapshots.site_resources(resources(spark, [(A, "", 200, index)]))
     assert [r.url for r in discovery._named_files(snapshots.sitemap_files(many), site).collect()] == [f"{A}/s1.xml"]
+
+
+def test_two_seeds_of_one_site_fail(spark):
+    both = seeds(spark, (A, 3), (f"{A}/other", 5))
+    with pytest.raises(Exception, match="several seeds"):
+        discovered_sites(both, resources(spark)).collect()
+    with pytest.raises(ValueError, match="several seeds"):
+        jobs.audit_sites(spark, both, crawl(spark, []), resources(spark), "/nowhere", "2024-05-01 00:00:00")
