@@ -17,12 +17,14 @@ from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import partial
+from itertools import filterfalse
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from pagecensus.llm.common import Table, arrow_map
+from pagecensus.llm.common import arrow_map
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -30,8 +32,8 @@ END_ID = 2
 BLOCK_TOKENS = 2_000_000
 # Windows of one step group hold this many tokens together.
 STEP_TOKENS = 16 * 4096
-# Distinct words a worker keeps the ids of, in each of two generations.
-TABLE_WORDS = 300_000
+# Distinct words a worker keeps the ids of; when there are more, the table starts again.
+TABLE_WORDS = 1_000_000
 
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
@@ -70,8 +72,8 @@ class WordTokenizer:
         self._pre_tokens = regex.compile(_PRE_TOKENS).findall
         self._simple = regex.compile(_SIMPLE).fullmatch
         self._letters = _byte_letters()
-        self._words = Table(TABLE_WORDS)
-        self._parts = Table(TABLE_WORDS)
+        self._words: dict[str, bytes] = {}
+        self._parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
         letters = part if part.isascii() else part.encode().decode("latin-1").translate(self._letters)
@@ -91,7 +93,7 @@ class WordTokenizer:
                 mixed[word] = self._pre_tokens(word.lower())
         parts = self._parts
         needed = {word[-1] for word in signed}.union(plain.values(), signed.values(), *mixed.values())
-        for part in parts.missing(needed):
+        for part in needed.difference(parts):
             parts[part] = self._part(part)
         table = self._words
         table.update((word, parts[part]) for word, part in plain.items())
@@ -103,8 +105,13 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
+        if len(self._words) > TABLE_WORDS:
+            self._words.clear()
+            self._parts.clear()
         split = [[] if t is None else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        unknown = self._words.missing(set().union(*split))
+        unknown: set[str] = set()
+        for words in split:
+            unknown.update(filterfalse(self._words.__contains__, words))
         if unknown:
             self._learn(unknown)
         find = self._words.__getitem__
@@ -173,7 +180,7 @@ class Packer:
 
 
 def _pack_partition(
-    batches: Iterator[pa.RecordBatch], path: str, tiers: tuple[int, ...], end_id: int
+    batches: Iterator[pa.RecordBatch], path: str, tiers: tuple[int, ...], end_id: int, with_ids: bool
 ) -> Iterator[pa.RecordBatch]:
     tokenizer = word_tokenizer(path)
     end = array("I", [end_id]).tobytes()
@@ -194,8 +201,9 @@ def _pack_partition(
             offset = 0
             for tokens, owner, start in window:
                 doc_id, ids, left = held[owner]
+                own = ids[4 * start : 4 * (start + tokens)]
                 rows.append(
-                    (doc_id, start, tokens, ids[4 * start : 4 * (start + tokens)], len(ids) // 4,
+                    (doc_id, start, tokens, own if with_ids else crc32(own), len(ids) // 4,
                      base + sequences, offset, length, group)
                 )
                 offset += tokens
@@ -206,11 +214,11 @@ def _pack_partition(
                     held[owner][2] = left - tokens
             sequences += 1
             if size > BLOCK_TOKENS // 2:
-                yield _batch(rows)
+                yield _batch(rows, with_ids)
                 rows, size = [], 0
         packer.windows.clear()
         if rows:
-            yield _batch(rows)
+            yield _batch(rows, with_ids)
 
     for batch in batches:
         ids = batch.column(0).to_pylist()
@@ -226,14 +234,19 @@ def _pack_partition(
     yield from given_out()
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    names = [f.split()[0] for f in PIECES.split(", ")]
+def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    ids = pa.binary() if with_ids else pa.int64()
+    kinds = [pa.int64(), pa.int64(), pa.int64(), ids, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    names = [f.split()[0] for f in _schema(with_ids).split(", ")]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names
     )
 
 
+def _schema(with_ids: bool) -> str:
+    return PIECES if with_ids else PIECES.replace("ids binary", "ids_crc32 long")
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -241,12 +254,14 @@ def pack(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
+    with_ids: bool = True,
 ) -> DataFrame:
     """One row per piece of a document, with its place in a window (``sequence_id``, ``offset``).
 
     ``ids`` are the piece's ids as little-endian unsigned 32-bit numbers, ``start`` how many of the
     document's ids lie before it, ``sequence_length`` the length of the window, and ``step_group``
-    numbers groups of windows of one length that hold the same number of tokens together.
+    numbers groups of windows of one length that hold the same number of tokens together. Without
+    ``with_ids``, the CRC-32 of the ids is returned in their place, as ``ids_crc32``.
 
     Null and empty texts have the end id alone. A null id stays null. Repeated rows are packed as
     often as they come. An empty table gives no rows. Other columns are ignored. A text of any length
@@ -255,6 +270,5 @@ def pack(
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are powers of two")
     rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text")
-    return arrow_map(
-        rows, partial(_pack_partition, path=tokenizer_path, tiers=tuple(tiers), end_id=end_id), PIECES
-    )
+    apply = partial(_pack_partition, path=tokenizer_path, tiers=tuple(tiers), end_id=end_id, with_ids=with_ids)
+    return arrow_map(rows, apply, _schema(with_ids))

@@ -51,11 +51,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return pieces.selectExpr(
-        "doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset",
-        "sequence_length", "step_group",
-    )
+    model = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(load(spark, sf_dir, "documents"), model, with_ids=False)
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
