@@ -33,8 +33,7 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.digests(pieces.decode(pieces.encode(load(spark, sf_dir, "documents"), model), model))
+    return pieces.round_trip_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
