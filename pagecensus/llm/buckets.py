@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from pagecensus.llm.common import shuffle_parts
 
-# Documents of a chunk, and bytes of text hashed at a time.
-CHUNK_DOCS = 2000
+# Documents of a chunk and bytes of their texts, bytes of text whose hashes make a bucket, and from how few
+# documents and bytes on it is worth while to make a chunk and a bucket. Then bytes of text hashed at a time.
+CHUNK_DOCS, CHUNK_BYTES, BUCKET_BYTES = 2000, 64 << 20, 4 << 20
+FEW_DOCS, FEW_BYTES = 200, 1 << 20
 HASHED_BYTES = 1 << 20
 # Bits of an edge hash that are sent besides those that name the bucket.
 SENT_BITS = 48
@@ -26,6 +28,8 @@ ANSWER = "chunk int, bucket int, flags binary, left binary, right binary, firsts
 SENT = "chunk int, bucket int, flags binary, left binary, right binary, keys binary, values binary"
 SENT_KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
 ANSWER_KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+
+
 def arrow_table(rows: list[tuple], kinds: list, schema: str) -> pa.Table:
     columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
     names = [f.split()[0] for f in schema.split(", ")]
@@ -133,14 +137,27 @@ def ids_of(docs: pa.Table) -> np.ndarray:
     return np.array([NO_ID if i is None else i for i in docs.column("doc_id").to_pylist()], dtype=np.int64)
 
 
+def layout(docs: int, size: int, tasks: int, chunk_docs: int) -> tuple[int, int]:
+    """Number of chunks and bits that name a bucket, for ``docs`` texts of ``size`` bytes together.
+
+    Both follow from the data: a chunk holds up to ``chunk_docs`` texts and ``CHUNK_BYTES`` on average, a bucket
+    the hashes of ``BUCKET_BYTES`` of text. Small tables are cut finer to give ``tasks`` tasks something to do,
+    as long as a chunk keeps ``FEW_DOCS`` texts and a bucket the hashes of ``FEW_BYTES``.
+    """
+    chunks = max(1, -(-docs // chunk_docs), -(-size // CHUNK_BYTES), min(tasks, -(-docs // FEW_DOCS)))
+    buckets = max(1, -(-size // BUCKET_BYTES), min(tasks, -(-size // FEW_BYTES)))
+    return chunks, min(64 - SENT_BITS, (buckets - 1).bit_length())
+
+
 def chunked(docs: DataFrame, chunk_docs: int) -> tuple[GroupedData, int]:
     """``docs`` (``doc_id, text`` and what comes along) grouped by chunk, and how many bits of a hash name a bucket.
 
     The groups may be used several times in one query: Spark reuses the exchange.
     """
-    chunks = max(2 * shuffle_parts(docs.sparkSession), -(-docs.count() // chunk_docs))
+    rows, size = docs.selectExpr("count(*)", "coalesce(sum(octet_length(text)), 0L)").first()
+    chunks, bits = layout(rows, size, 2 * shuffle_parts(docs.sparkSession), chunk_docs)
     numbered = docs.withColumn("chunk", F.expr(f"CAST(pmod(xxhash64(doc_id, text), {chunks}) AS INT)"))
-    return numbered.groupBy("chunk"), min(16, (chunks - 1).bit_length())
+    return numbered.groupBy("chunk"), bits
 
 
 def on_chunks(send, own: dict):

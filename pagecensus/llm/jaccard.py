@@ -17,6 +17,7 @@ by one. All comparisons are exact; what is left out are links inside a component
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -441,15 +442,23 @@ def similar_documents(
     )
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The documents with the smallest id of their component, with their columns unchanged.
 
-    A document without an id cannot be named in a component and stays; of rows with one id, all go if
-    one of them does.
+    Of rows with equal id and text one stays. A document without an id cannot be named in a component and
+    stays; of rows with one id and different texts, all go if one of them does. Columns may have any names.
     """
-    found = similar_documents(docs, words, percent, id_col).where("doc_id <> component_id")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    found = similar_documents(docs, words, percent, id_col, text_col).where("doc_id <> component_id")
+    key = f"_key_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(key, F.col(f"`{id_col}`").cast("long"))
+    # Rows are only compared where an id is repeated; the texts of others do not move.
+    repeated = keyed.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    single = keyed.join(repeated, key, "left_anti")
+    several = keyed.join(repeated, key, "left_semi").dropDuplicates([key, text_col])
+    kept = single.unionByName(several).join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def brute_force(

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -56,8 +57,10 @@ _DIGITS_FORM = re.compile(r"(?<![\w.+-])[+(]?\d[\d ().-]{5,30}\d(?![\w-]|\.\d)")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
 _SECRET = re.compile(
-    r"(?i)\b(?:api[_-]?key|access[_-]?key|token|secret|passw(?:or)?d)\b[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([A-Za-z0-9+/_.=-]{8,512})"
+    r"(?i)\b(?:api[_-]?key|access[_-]?key|token|secret|passw(?:or)?d)\b[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([A-Za-z0-9+/_.=-]{8,})"
 )
+# A longer secret is replaced in parts of so many characters.
+SECRET_PART = 512
 _SECRET_HINT = re.compile(r"(?i)key|token|secret|passw")
 _GIVEN_FORM = re.compile(rf"\b({'|'.join(_GIVEN)})((?: [^\W\d_a-zà-ÿа-яα-ω][^\W\d_]{{1,30}})+)")
 _TITLE_FORM = re.compile(rf"\b(?:{'|'.join(_TITLES)})\.? ([^\W\d_]{{2,30}}(?: [^\W\d_a-zà-ÿа-яα-ω][^\W\d_]{{1,30}})?)")
@@ -237,22 +240,30 @@ def _mail_entities(text: str) -> Iterator[tuple[int, int, str]]:
         at = text.find("@", at + 1)
 
 
+def _secret_entities(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _SECRET.finditer(text):
+        start, end = m.span(1)
+        if end - start < 32 or re.search(r"\d", m.group(1)):
+            for part in range(start, end, SECRET_PART):
+                yield part, min(part + SECRET_PART, end), "secret"
+
+
 def entities(text: str | None) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of the entities of a text, in order; of two that overlap the first found."""
     if not text:
         return []
     found = list(_mail_entities(text)) if "@" in text else []
     if _SECRET_HINT.search(text):
-        found += [(*m.span(1), "secret") for m in _SECRET.finditer(text) if re.search(r"\d", m.group(1)) or len(m.group(1)) < 32]
+        found += _secret_entities(text)
     found += _digit_entities(text)
     found += [(*m.span(), "person") for m in _GIVEN_FORM.finditer(text)]
     found += [(*m.span(1), "person") for m in _TITLE_FORM.finditer(text)]
-    taken, out = [], []
-    for start, end, kind in found:
-        if all(end <= s or start >= e for s, e in taken):
-            taken.append((start, end))
-            out.append((start, end, kind))
-    return sorted(out)
+    taken: list[tuple[int, int, str]] = []  # in order and apart, so only the neighbours can overlap
+    for entity in found:
+        at = bisect(taken, entity)
+        if (not at or taken[at - 1][1] <= entity[0]) and (at == len(taken) or entity[1] <= taken[at][0]):
+            taken.insert(at, entity)
+    return taken
 
 
 def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, str, str]]]:

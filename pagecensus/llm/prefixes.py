@@ -330,7 +330,8 @@ def with_shared_openings(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations that begin like the first of their group, as ``(conversations, turns)`` for ``trie``.
 
     Conversation c gets the first h turns of c - c % 20 (all it has, if fewer; none, if there is none) in place
-    of its own first h; h is the CRC-32 of c in decimal, modulo 4. It may end up without turns.
+    of its own first h; h is the CRC-32 of c in decimal, modulo 4. It may end up without turns. The remainder
+    of a negative id is negative, as in SQL.
     """
     own = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).selectExpr(
         "conv_id", "n", f"conv_id - conv_id % {GROUP} AS source",

@@ -9,6 +9,7 @@ estimated from how much sites differ). A document's posterior adds its evidence
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -227,24 +228,33 @@ def posteriors(
 
     ``host`` and ``path`` are columns or SQL expressions that name a document's site. The shares of the
     sites are a table; Spark broadcasts it only if it is small. Null sites are sites like others; rows
-    repeat as given; an empty table gives no rows; columns with the added names are replaced.
+    repeat as given; an empty table gives no rows; columns with the added names are replaced. Other columns
+    may have any names.
     """
     own = [c for c in docs.columns if c not in ("_evidence", "_host_share", "_path_share", "_good")]
     scored = with_evidence(docs.select(*[F.col(f"`{c}`") for c in own]), model, text_col)
     shares = site_shares(scored, model, host, path)
     odds = "_evidence + ln(path_share / (1 - path_share))"
-    joined = scored.join(shares, F.expr(f"({host}) <=> _host AND ({path}) <=> _path"))
+    # Names of their own for both sides: the documents may have columns called like the shares'.
+    mark = f"_{uuid.uuid4().hex}"
+    shares = shares.withColumnsRenamed({c: c + mark for c in shares.columns})
+    keyed = scored.withColumns({f"_h{mark}": F.expr(host), f"_p{mark}": F.expr(path)})
+    odds = odds.replace("path_share", f"path_share{mark}")
+    joined = keyed.join(shares, F.expr(f"_h{mark} <=> _host{mark} AND _p{mark} <=> _path{mark}"))
     return joined.selectExpr(
         *[f"`{c}`" for c in own],
         "_evidence",
-        "host_share AS _host_share",
-        "path_share AS _path_share",
+        f"host_share{mark} AS _host_share",
+        f"path_share{mark} AS _path_share",
         f"1 / (1 + exp(-greatest(-30, least(30, {odds})))) AS _good",
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are likelier good than ``threshold``, with their columns unchanged."""
-    return posteriors(docs, fit(docs, labels)).where(f"_good >= {threshold}").select(
-        *[F.col(f"`{c}`") for c in docs.columns]
+    """The documents that are likelier good than ``threshold``, with their columns unchanged, whatever their names."""
+    added = ("_evidence", "_host_share", "_path_share", "_good")
+    put_away = {c: f"{c}_{uuid.uuid4().hex}" for c in docs.columns if c in added}
+    judged = posteriors(docs.withColumnsRenamed(put_away), fit(docs, labels))
+    return judged.where(f"_good >= {threshold}").select(
+        *[F.col(f"`{put_away.get(c, c)}`").alias(c) for c in docs.columns]
     )

@@ -403,6 +403,8 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
     for name, query in queries.queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
