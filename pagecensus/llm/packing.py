@@ -33,7 +33,7 @@ BLOCK_TOKENS = 2_000_000
 # Windows of one step group hold this many tokens together.
 STEP_TOKENS = 16 * 4096
 # Distinct words a worker keeps the ids of; when there are more, the table starts again.
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 400_000
 
 PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
