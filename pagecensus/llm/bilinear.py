@@ -35,30 +35,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagecensus.llm.common import arrow_map, stage, utf8
+from pagecensus.llm.common import arrow_map, stage
 
 # The model's size: classes, of which so many hold a single frequent word (the end of a text is the first).
 CLASSES, SINGLES, DIMS = 256, 96, 32
 FREQUENT = 1 << 20
 # Training: rounds, tokens a step, noise classes a step, step size, range of the first random vectors.
-ROUNDS, STEP_TOKENS, NOISE, RATE, START = 3, 1024, 32, 0.1, 0.1
+ROUNDS, STEP_TOKENS, NOISE, RATE, START = 3, 2048, 32, 0.2, 0.1
 # Pseudo-count of every word.
 PRIOR = 0.1
 # A line break is no word, so it can stand for the end of a text.
 END = b"\n"
 # Distinct words a worker remembers, and sends at a time.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 HELD_OUT = "crc32(binary(coalesce(CAST(doc_id AS STRING), ''))) % 10 = 0"
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: bytes | None) -> list[bytes]:
     """Words in lower case (A to Z) and the end. ``bytes.split`` splits at blanks and 0x09 to 0x0D."""
-    words = utf8(text).lower().split()
+    words = (text or b"").lower().split()
     words.append(END)
     return words
 
 
+def texts_of(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
+
+
 def hash_of(word: bytes) -> int:
     """Signed, as Spark has no unsigned numbers."""
     return xxhash.xxh64_intdigest(word) - 2**63
@@ -84,8 +88,8 @@ def _count_batch(counts: Counter) -> pa.RecordBatch:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
-        for text in batch.column("text"):
-            counts.update(words_of(text.as_py()))
+        for text in texts_of(batch):
+            counts.update(words_of(text))
             if len(counts) > REMEMBERED:
                 yield _count_batch(counts)
                 counts = Counter()
@@ -146,27 +150,33 @@ def count_words(training: DataFrame) -> Counts:
 
 
 class _Codes(dict):
-    """Word -> index of its class, count and hash in lists that grow with every new word."""
+    """Word -> index of its hash, count and class in arrays that grow with the new words of a batch."""
 
     def __init__(self, hashes: np.ndarray, numbers: np.ndarray, classes: np.ndarray):
         super().__init__()
-        self.frequent = hashes, numbers, classes
-        self.hash, self.number, self.kind = [], [], []
+        self.frequent = dict(zip(hashes.tolist(), zip(numbers.tolist(), classes.tolist(), strict=True), strict=True))
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.hashes, self.numbers, self.classes = np.empty(0, np.int64), np.empty(0), np.empty(0, np.uint8)
+        self.new: list[tuple[int, float, int]] = []
 
     def __missing__(self, word: bytes) -> int:
-        hashes, numbers, classes = self.frequent
         own = hash_of(word)
-        place = int(np.searchsorted(hashes, own))
-        found = place < len(hashes) and hashes[place] == own
-        self.hash.append(own)
-        self.number.append(float(numbers[place]) if found else 0.0)
-        self.kind.append(int(classes[place]) if found else ending_class(word))
-        self[word] = code = len(self.hash) - 1
+        number, kind = self.frequent.get(own) or (0.0, ending_class(word))
+        self[word] = code = len(self)
+        self.new.append((own, number, kind))
         return code
 
-    def forget(self) -> None:
-        self.clear()
-        self.hash, self.number, self.kind = [], [], []
+    def grow(self) -> None:
+        """Take the new words into the arrays."""
+        if self.new:
+            hashes, numbers, classes = zip(*self.new, strict=True)
+            self.hashes = np.append(self.hashes, np.array(hashes, dtype=np.int64))
+            self.numbers = np.append(self.numbers, np.array(numbers))
+            self.classes = np.append(self.classes, np.array(classes, dtype=np.uint8))
+            self.new = []
 
 
 _CODED = (
@@ -190,8 +200,8 @@ def encoded(docs: DataFrame, counts: Counts) -> DataFrame:
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "held_out")), strict=True)
             rows = []
-            for key, text in zip(keys, batch.column("text"), strict=True):
-                words = words_of(text.as_py())
+            for key, text in zip(keys, texts_of(batch), strict=True):
+                words = words_of(text)
                 rows.append((*key, np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))))
                 if len(codes) > REMEMBERED:
                     yield _coded_batch(rows, codes)
@@ -203,8 +213,9 @@ def encoded(docs: DataFrame, counts: Counts) -> DataFrame:
 
 
 def _coded_batch(rows: list[tuple], codes: _Codes) -> pa.RecordBatch:
-    kinds, numbers = np.array(codes.kind, dtype=np.uint8), np.array(codes.number)
-    hashes, scores = np.array(codes.hash, dtype=np.int64), np.log10(numbers + PRIOR)
+    codes.grow()
+    hashes, numbers, kinds = codes.hashes, codes.numbers, codes.classes
+    scores = np.log10(numbers + PRIOR)
     out = []
     for uid, doc_id, held_out, own in rows:
         known = numbers[own] > 0
