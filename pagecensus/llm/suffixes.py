@@ -12,8 +12,9 @@ have their anchors at the same place, and the occurrences of a repeat meet at th
    go on alike is not maximal there. The scan gives all occurrences, not only neighbours in the array.
 3. The answers tell each occurrence how far it is repeated, or the groups it belongs to.
 
-Passages of a number of words (``min_words``) are found by hashes: windows of so many words have an anchor
-among their word k-grams, and windows whose anchor occurs twice go to the buckets as hashes in steps 2 and 3.
+Passages of a number of words (``min_words``, ``shared_words``) are found by hashes: windows of so many words
+have an anchor among their word k-grams, and windows whose anchor occurs twice go to the buckets as hashes in
+steps 2 and 3.
 
 An anchor with more than ``HOT_CONTEXTS`` occurrences, such as a footer in many documents with different text
 around it, has no suffixes: all windows with this anchor go to the buckets as hashes, spread by the windows'
@@ -142,23 +143,38 @@ class Chunk(Hashed):
     def _passages(self, words: int) -> None:
         """The windows of ``words`` words with their anchors, and the anchors' occurrences as items."""
         gram = max(1, round(words * WORD_GRAM_SHARE))
+        width = words - gram + 1
+        none = np.full(width - 1, np.iinfo(np.uint64).max, dtype=np.uint64)
         items, parts = [self.hash], []
-        for base, text in zip(self.bounds.tolist(), self.texts, strict=False):
+        for begin, some in text_groups(self.texts):
+            text = b" ".join(some)
             starts, ends = word_spans(text)
             if len(starts) < words:
                 continue
             own = span_hashes(prefix_hashes(np.frombuffer(text, dtype=np.uint8)), starts, ends)
+            doc = np.searchsorted(np.cumsum([len(t) + 1 for t in some]), starts, side="right")
             grams = run_hashes(own, gram)
-            least = _sliding_minimum(grams, words - gram + 1)
-            items.append(mixed(grams[np.isin(grams, np.unique(least))]))
-            parts.append((mixed(least), run_hashes(own, words), starts[: len(least)] + base, ends[words - 1 :] + base))
+            least = _sliding_minimum(grams, width)
+            inside = doc[: len(least)] == doc[words - 1 :]
+            # A k-gram is an anchor if it is the least of a window, so the greatest least of its windows.
+            below = np.concatenate([none, np.where(inside, ~least, np.iinfo(np.uint64).max), none])
+            items.append(mixed(grams[~_sliding_minimum(below, width) == grams]))
+            # One blank stands before each text but the first.
+            at = self.bounds[begin] - doc
+            parts.append((
+                mixed(least[inside]), run_hashes(own, words)[inside],
+                (starts + at)[: len(least)][inside], (ends + at)[words - 1 :][inside],
+            ))
         self.hash = np.concatenate(items)
         kinds = (np.uint64, np.uint64, np.int64, np.int64)
         columns = zip(*parts, strict=True) if parts else ([np.empty(0, dtype=k)] for k in kinds)
         self.passage_anchor, self.passage_hash, self.passage_start, self.passage_stop = map(np.concatenate, columns)
 
-    def windows(self, bits: int) -> Windows:
-        """Windows that are compared as hashes: those of hot anchors, and passages with a repeated anchor."""
+    def windows(self, bits: int, shared: bool = False) -> Windows:
+        """Windows that are compared as hashes: those of hot anchors, and passages with a repeated anchor.
+
+        With ``shared``, a passage that only one document holds is not repeated.
+        """
         on = np.flatnonzero(self.hot[self.of[: self.anchors]])
         first, many = self.first_start[on], self.last_start[on] - self.first_start[on] + 1
         ahead = np.repeat(np.cumsum(many) - many, many)
@@ -168,14 +184,18 @@ class Chunk(Hashed):
             low, high = np.searchsorted(starts, [self.bounds[begin], self.bounds[begin + len(some)]])
             at = starts[low:high] - self.bounds[begin]
             hashes.append(span_hashes(prefix_hashes(np.frombuffer(b"".join(some), dtype=np.uint8)), at, at + self.size))
-        stops = starts + self.size
+        stops, places, many = starts + self.size, -np.arange(1, len(starts) + 1), len(starts)
         if self.words:
             items = np.unique(self.hash[self.anchors :][self.repeated[self.of[self.anchors :]]])
-            on = np.isin(self.passage_anchor, items)
-            starts = np.concatenate([starts, self.passage_start[on]])
+            # Neighbours mostly have the same anchor.
+            new = np.flatnonzero(np.diff(self.passage_anchor, prepend=~self.passage_anchor[:1]))
+            on = np.repeat(np.isin(self.passage_anchor[new], items), np.diff(new, append=len(self.passage_anchor)))
+            own = self.passage_start[on]
+            docs = np.searchsorted(self.bounds, own, side="right") if shared else np.arange(len(own))
+            starts, places = np.concatenate([starts, own]), np.concatenate([places, docs])
             stops = np.concatenate([stops, self.passage_stop[on]])
             hashes.append(self.passage_hash[on])
-        return Windows(starts, stops, np.concatenate(hashes), bits)
+        return Windows(starts, stops, np.concatenate(hashes), bits, places, many)
 
     def contexts(self) -> None:
         """Distinct texts around repeated anchors, ordered by hash, left and right side."""
@@ -202,12 +222,19 @@ class Chunk(Hashed):
 
 
 class Windows(Hashed):
-    """Windows of a chunk by their hashes; twice in the chunk is repeated."""
+    """Windows of a chunk by their hashes, the first ``of_bytes`` of them byte strings, the others passages.
 
-    def __init__(self, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray, bits: int):
-        self.starts, self.stops, self.hash = starts, stops, hashes
+    Those in two ``places`` of the chunk are repeated.
+    """
+
+    def __init__(
+        self, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray, bits: int, places: np.ndarray, of_bytes: int
+    ):
+        self.starts, self.stops, self.hash, self.of_bytes = starts, stops, hashes, of_bytes
         self.distinct(bits)
-        self.repeated = self.first != self.last
+        if len(self.first):
+            ordered = places[self.order]
+            self.repeated = np.minimum.reduceat(ordered, self.first) != np.maximum.reduceat(ordered, self.first)
 
 
 def _of_table(docs: pa.Table, size: int, gram: int, bits: int, words: int) -> Chunk:
@@ -237,7 +264,9 @@ def _answer_anchors(rows: pa.Table, hot: int) -> pa.Table:
 _HEAD = np.dtype([("hash", "<u8"), ("many", "u1"), ("left", "<u4"), ("right", "<u4")])
 
 
-def _send_contexts(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int, words: int) -> pa.Table:
+def _send_contexts(
+    docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int, words: int, shared: bool = False
+) -> pa.Table:
     listed = answers.to_pylist()
     if not listed or not docs.num_rows:
         return arrow_table([], SENT_KINDS, SENT)
@@ -259,7 +288,7 @@ def _send_contexts(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits
         head["right"] = [len(c[2]) for c in some]
         text = b"".join([part for c in some for part in c[1:]])
         rows.append((listed[0]["chunk"], b, flags.get(b), None, hot.get(b), head.tobytes(), text))
-    sent = chunk.windows(bits).sent_rows(listed[0]["chunk"])
+    sent = chunk.windows(bits, shared).sent_rows(listed[0]["chunk"])
     rows += [(number, b, repeated, _WINDOWS, None, keys, None) for number, b, repeated, _, _, keys, _ in sent]
     return arrow_table(rows, SENT_KINDS, SENT)
 
@@ -446,12 +475,25 @@ def _answer_groups(rows: pa.Table, size: int) -> pa.Table:
 
 
 _REMOVED = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept binary"
+_PASSAGES = "passages array<struct<start: long, length: long>>"
 
 
-def _removed(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int, words: int) -> pa.Table:
+def _spans(covered: np.ndarray) -> list[dict]:
+    """The maximal runs of covered bytes."""
+    if not covered.any():
+        return []
+    steps = np.diff(covered.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    return [{"start": s, "length": e - s} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _removed(
+    docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int, words: int, shared: bool = False
+) -> pa.Table:
     texts = [utf8(t) for t in docs.column("text").to_pylist()]
     bounds = np.cumsum([0, *(len(t) for t in texts)])
     gone = np.zeros(int(bounds[-1]) + 1, dtype=np.int32)
+    held = np.zeros_like(gone) if shared else gone
     listed = sorted(answers.to_pylist(), key=lambda a: a["bucket"])
     hashed, listed = [a for a in listed if a["left"]], [a for a in listed if not a["left"]]
     if listed:
@@ -466,27 +508,27 @@ def _removed(docs: pa.Table, answers: pa.Table, size: int, gram: int, bits: int,
             np.add.at(gone, place - reach[on, 0], 1)
             np.add.at(gone, place + reach[on, 1], -1)
         if hashed:
-            windows = chunk.windows(bits)
+            windows = chunk.windows(bits, shared)
             windows.take_flags(hashed)
-            on = windows.repeated[windows.of]
-            np.add.at(gone, windows.starts[on], 1)
-            np.add.at(gone, windows.stops[on], -1)
+            on = np.flatnonzero(windows.repeated[windows.of])
+            cut = np.searchsorted(on, windows.of_bytes)
+            for marks, some in ((gone, on[:cut]), (held, on[cut:])):
+                np.add.at(marks, windows.starts[some], 1)
+                np.add.at(marks, windows.stops[some], -1)
     covered = np.cumsum(gone[:-1]) > 0
+    passages = np.cumsum(held[:-1]) > 0 if shared else None
     rows = []
     for i, (doc_id, text) in enumerate(zip(docs.column("doc_id").to_pylist(), texts, strict=True)):
         own = covered[bounds[i] : bounds[i + 1]]
-        spans: list[dict] = []
-        if own.any():
-            steps = np.diff(own.astype(np.int8), prepend=0, append=0)
-            starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
-            spans = [{"start": s, "length": e - s} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        spans = _spans(own)
+        if spans:
             text = np.frombuffer(text, dtype=np.uint8)[~own].tobytes()
         rows.append((doc_id, len(own), int(own.sum()), spans, text))
-    kinds = [
-        pa.int64(), pa.int64(), pa.int64(),
-        pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary(),
-    ]
-    out = arrow_table(rows, kinds, "doc_id, n_bytes, n_removed, spans, kept")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    out = arrow_table(rows, [pa.int64(), pa.int64(), pa.int64(), kind, pa.binary()], "doc_id, n_bytes, n_removed, spans, kept")
+    if shared:
+        found = [_spans(passages[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        out = out.append_column("passages", pa.array(found, kind))
     return out.append_column("row", docs.column("row")) if "row" in docs.schema.names else out
 
 
@@ -523,18 +565,20 @@ def _answer_windows(rows: pa.Table) -> pa.Table:
 
 
 def _answers(
-    docs: DataFrame, min_bytes: int, chunk_docs: int, answer, id_col: str, text_col: str, hot: int, carry=(), min_words=0
-):
+    docs: DataFrame, min_bytes: int, chunk_docs: int, answer, id_col: str, text_col: str, hot: int, carry=(), min_words=0,
+    shared_words=0,
+):
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").alias("text"),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []),
     )
     by_chunk, bits = chunked(rows, chunk_docs)
-    own = {"size": min_bytes, "gram": max(1, round(min_bytes * GRAM_SHARE)), "bits": bits, "words": min_words}
+    own = {"size": min_bytes, "gram": max(1, round(min_bytes * GRAM_SHARE)), "bits": bits, "words": shared_words or min_words}
     anchors = by_chunk.applyInArrow(on_chunks(_send_anchors, own), SENT)
     repeated = anchors.groupBy("bucket").applyInArrow(on_chunks(_answer_anchors, {"hot": hot}), ANSWER)
-    contexts = by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(on_answers(_send_contexts, own), SENT)
+    sending = on_answers(_send_contexts, {**own, "shared": bool(shared_words)})
+    contexts = by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(sending, SENT)
 
     def answered(rows: pa.Table) -> pa.Table:
         hashed = rows.column("left").is_valid()
@@ -554,6 +598,7 @@ def remove_repeats(
     carry: Sequence[str] = (),
     min_words: int = 0,
     hot_contexts: int = HOT_CONTEXTS,
+    shared_words: int = 0,
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept``: bytes in a string of ``min_bytes`` bytes that also
     starts elsewhere in the corpus, the same document included, are removed; all are judged on the input.
@@ -561,16 +606,24 @@ def remove_repeats(
     whatever their length in bytes and the blanks between the words; they are compared by 64-bit hashes, as are
     the windows of an anchor that occurs more than ``hot_contexts`` times.
 
+    With ``shared_words``, a further column ``passages`` has the maximal runs of bytes in runs of so many words
+    that also stand in another document, found like those of ``min_words``. They stay in ``kept`` unless their
+    bytes are removed as above. Of ``min_words`` and ``shared_words`` only one can be given.
+
     ``spans`` are the maximal runs of removed bytes, ``kept`` the other bytes. Null and empty texts have
     no bytes. Null and repeated ids do no harm: rows are documents. Repeated rows are copies of one
     another. An empty table gives no rows. The columns named in ``carry`` come along in a struct ``row``,
     the others are ignored.
     """
-    grouped, own = _answers(docs, min_bytes, chunk_docs, _answer_coverage, id_col, text_col, hot_contexts, carry, min_words)
-    schema = StructType.fromDDL(_REMOVED)
+    if min_words and shared_words:
+        raise ValueError("only one of min_words and shared_words can be given")
+    grouped, own = _answers(
+        docs, min_bytes, chunk_docs, _answer_coverage, id_col, text_col, hot_contexts, carry, min_words, shared_words
+    )
+    schema = StructType.fromDDL(f"{_REMOVED}, {_PASSAGES}" if shared_words else _REMOVED)
     if carry:
         schema = schema.add("row", StructType([docs.schema[c] for c in carry]))
-    return grouped.applyInArrow(on_answers(_removed, own), schema)
+    return grouped.applyInArrow(on_answers(_removed, {**own, "shared": bool(shared_words)}), schema)
 
 
 def without_repeats(
@@ -613,9 +666,14 @@ def repeat_groups(
 
 
 def digests(removed: DataFrame) -> DataFrame:
+    """Counts and a digest instead of spans and bytes; of the passages, if there are any, number and bytes."""
+    passages = [
+        F.size("passages").cast("long").alias("n_passages"),
+        F.expr("aggregate(passages, 0L, (n, p) -> n + p.length)").alias("n_passage_bytes"),
+    ]
     return removed.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-        F.sha2(F.col("kept"), 256).alias("kept_sha256"),
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"), *(passages if "passages" in removed.columns else []),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +152,49 @@ def test_repeated_runs_of_words_match_definition(spark, letters, span):
     assert often
 
 
+@pytest.mark.parametrize(("letters", "span", "chunk_docs"), [("ab", 9, 9), ("abcde", 13, 9), ("abcde", 13, 2000)])
+def test_passages_of_other_documents_match_definition(spark, letters, span, chunk_docs):
+    twice = " ".join(f"t{i}" for i in range(span))
+    texts = [
+        *copies(6, 20, letters, [0, 5, 13, 60, 200]), None, f"{twice} alone {twice}",
+        *("é ".join(f"s{i}" for i in range(span + more)) for more in (0, 2)), " \n\t ", "x" * 99,
+    ]
+    rows = [(i % 7, t) for i, t in enumerate([*texts, "same row " * span, "same row " * span])]
+    found = suffixes.remove_repeats(documents(spark, rows), 60, chunk_docs=chunk_docs, shared_words=span, hot_contexts=4)
+    holders: dict = {}
+    split = [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0d]+", (t or "").encode())] for _, t in rows]
+    runs = [[tuple(x[2] for x in w[i : i + span]) for i in range(len(w) - span + 1)] for w in split]
+    for doc, own in enumerate(runs):
+        for run in own:
+            holders.setdefault(run, set()).add(doc)
+    wanted = []
+    for (doc_id, text), words, own, whole in zip(rows, split, runs, suffixes.brute_force([t for _, t in rows], 60), strict=True):
+        gone = bytearray(len((text or "").encode()))
+        for i, run in enumerate(own):
+            if len(holders[run]) > 1:
+                begin, end = words[i][0], words[i + span - 1][1]
+                gone[begin:end] = b"\1" * (end - begin)
+        passages = [m.end() - m.start() for m in re.finditer(b"\1+", gone)]
+        wanted.append((doc_id, *whole[:3], sha(whole[3]), len(passages), sum(passages)))
+    assert sorted(tuple(r) for r in suffixes.digests(found).collect()) == sorted(wanted)
+    assert any(w[-1] for w in wanted) and any(len(r) > len(set(r)) for r in runs)
+
+
+def test_op1_tells_short_passages_of_51_words(spark, tmp_path):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    passage, below, twice = (" ".join(word() for _ in range(n)) for n in (51, 50, 51))
+    assert len(passage) < 350
+    own = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    texts = [f"{own[0]} {passage} {own[1]}", f"{passage} {own[2]}", f"{own[3]} {below}", f"{below} {own[4]}", f"{twice} {own[5]} {twice}"]
+    documents(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in queries.op1_suffix_repeats(spark, str(tmp_path)).collect()}
+    assert {i: (r.n_removed, r.n_passages, r.n_passage_bytes) for i, r in rows.items()} == {
+        **dict.fromkeys((0, 1), (0, 1, len(passage))), **dict.fromkeys((2, 3, 4), (0, 0, 0)),
+    }
+    assert all(r.kept_sha256 == sha(texts[i]) for i, r in rows.items())
+
+
 @pytest.mark.parametrize(("seed", "letters", "span"), [(3, "ab", 6), (4, "abcde", 13)])
 def test_debruijn_matches_brute_force(spark, seed, letters, span):
     rnd = random.Random(seed)
